@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,6 +31,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_partitioned(df: DataFrame) -> DataFrame:
+    """cut() that keeps the known partitioning, so that later steps need no exchange of these rows.
+
+    A plan under adaptive execution reports no partitioning to its checkpoint; a repartition by number
+    has nothing to adapt, so this one action runs without it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return cut(df.select("*"))
+    finally:
+        conf.set(key, before)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, for tables that are written once and read back."""
     sc = spark.sparkContext
@@ -95,6 +111,22 @@ class SpanHasher:
         return mix64((prefix[e] - prefix[s]) * self.ipow[s])
 
 
+def hash_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray, hasher: SpanHasher) -> np.ndarray:
+    """Hashes of spans in rising order, over windows of the buffer; a span beyond a window by blake2b."""
+    parts, at = [], 0
+    while at < len(s):
+        to = int(np.searchsorted(e, s[at] + hasher.CHUNK, "right"))
+        if to <= at:
+            digest = hashlib.blake2b(buf[s[at] : e[at]].tobytes(), digest_size=8).digest()
+            parts.append(np.frombuffer(digest, np.uint64))
+            at += 1
+            continue
+        pre = hasher.prefix(buf[s[at] : e[to - 1]])
+        parts.append(hasher.spans(pre, s[at:to] - s[at], e[at:to] - s[at]))
+        at = to
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """Texts of a batch; null reads as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
@@ -113,7 +145,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
             change[1:] |= c[1:] != c[:-1]
         starts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
         for s, e in zip(starts[:-1], starts[1:], strict=True):
-            key = tuple(c[s].item() for c in cols)
+            key = tuple(c[s : s + 1].tolist()[0] for c in cols)
             if key != now and held:
                 yield now, pa.Table.from_batches(held)
                 held = []

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, bound_batches, components, cut, grouped, mix64, table, texts_of
+from .common import SpanHasher, bound_batches, components, cut, grouped, hash_spans, mix64, table, texts_of
 
 #: Tries in the forest, longest prefix of a trie, wanted recall of links at the threshold.
 TREES, DEPTH, RECALL = 40, 8, 0.999
@@ -37,13 +37,7 @@ def shingles(text: str, k: int, hasher: SpanHasher) -> np.ndarray:
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(buf)]])
     k = min(k, len(starts))
     s, e = starts[: len(starts) - k + 1], ends[k - 1 :]
-    parts, at = [], 0
-    while at < len(s):  # windows of the buffer, so that the power tables stay short
-        to = max(at + 1, int(np.searchsorted(e, s[at] + hasher.CHUNK, "right")))
-        pre = hasher.prefix(buf[s[at] : e[to - 1]])
-        parts.append(hasher.spans(pre, s[at:to] - s[at], e[at:to] - s[at]))
-        at = to
-    return np.unique(np.concatenate(parts))
+    return np.unique(hash_spans(buf, s, e, hasher))
 
 
 class Forest:
