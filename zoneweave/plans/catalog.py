@@ -79,17 +79,17 @@ def kernel_floor_area(spark, sf_dir) -> DataFrame:
     return kernel_rows(spark, sf_dir).select("pnu", "distance", F.round("area", 4).alias("area"), "seg_cnt")
 
 
-def lexical(spark, sf_dir) -> tuple[rt.Index, DataFrame, DataFrame]:
+def lexical(spark, sf_dir, want=("tfidf", "bm25")) -> tuple[rt.Index, DataFrame, DataFrame]:
     index, q = rt.Index(chunks(spark, sf_dir)), questions(spark, sf_dir)
-    return index, q, rt.lexical_scores(index, q)
+    return index, q, rt.lexical_scores(index, q, want)
 
 
 def tfidf_topk(spark, sf_dir) -> DataFrame:
-    return rt.top_k(lexical(spark, sf_dir)[2], "tfidf", 5)
+    return rt.top_k(lexical(spark, sf_dir, ("tfidf",))[2], "tfidf", 5)
 
 
 def bm25_topk(spark, sf_dir) -> DataFrame:
-    return rt.top_k(lexical(spark, sf_dir)[2], "bm25", 5)
+    return rt.top_k(lexical(spark, sf_dir, ("bm25",))[2], "bm25", 5)
 
 
 def normalized(spark, sf_dir) -> DataFrame:
