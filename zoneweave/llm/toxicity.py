@@ -14,7 +14,7 @@ from .common import SpanHasher, bound_batches, fold, hash_spans, table, texts_of
 #: Insults that the first voter looks for.
 INSULTS = ("clown", "disgusting", "dumb", "filth", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 #: Labelled rows a class that the classifier is fitted on, at most; bits of a feature's id; induced voters; weights kept.
-PER_CLASS, ID_BITS, INDUCED, KEPT = 4000, 32, 96, 1024
+PER_CLASS, ID_BITS, INDUCED, KEPT = 3000, 32, 96, 1024
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 
@@ -142,6 +142,7 @@ def fit(sets: list[np.ndarray], shout: np.ndarray, gold: np.ndarray, hasher: Spa
         return Model(lex, np.full(len(lex), 6.0), -4.0)
     doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     names, feat = np.unique(np.concatenate(sets), return_inverse=True)
+    names, feat, doc = names.astype(np.int64), feat.astype(np.int32), doc.astype(np.int32)
     size = len(names)
     odds, z = evidence(doc, feat, gold.astype(float), size)
     top = np.argsort(-z, kind="stable")[:INDUCED]
@@ -225,7 +226,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "_id").select("_id", "toxic", "text")
     bound_batches(docs.sparkSession)
     got = sorted(rows.mapInArrow(*_sets()).collect())
-    sets = [np.frombuffer(bytes(r.x), np.uint32).astype(np.int64) for r in got]
+    sets = [np.frombuffer(r.x, np.uint32) for r in got]
     return fit(sets, np.array([r.shout for r in got], float), np.array([r.toxic for r in got], int), SpanHasher())
 
 
