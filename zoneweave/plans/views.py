@@ -43,5 +43,5 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as questions; their sentences of 40 and more characters are what an answer must hold."""
-    pieces = F.filter(F.transform(F.split(F.col("text"), r"[.\n]"), F.trim), lambda p: F.length(p) >= 40)
+    pieces = F.filter(F.transform(F.split(F.col("text"), r"[.\n]"), lambda p: F.trim(p)), lambda p: F.length(p) >= 40)
     return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"), pieces.alias("required_items"), (F.pmod(F.col("item_id"), F.lit(3)) != 0).alias("gold_ready"))
