@@ -181,8 +181,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        one row a member: its verified links there and its root. No pair is emitted, none is dropped.
     4. The roots' components are the groups; links add up by copies.
 
-    Words: str.split() of the lower-cased text. A text of fewer than k words is one shingle. A text with
-    no word (null, empty, blank) links with nothing and is its own class and component. Rows that
+    Words: str.split() of the lower-cased text. A text of fewer than k words is one shingle, so texts with
+    no word (null, empty, blank) are copies of each other and of nothing else. Rows that
     repeat an id: the id is counted once (its smallest class). Null ids: dropped from the result,
     as they cannot be named. Empty table: empty result. Other columns of docs are not read.
     Cost: exact link counts are quadratic in the size of a candidate cell, split over block pairs.
@@ -193,8 +193,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     run, schema = _sign("id", "text", k, threshold)
     sig = cut(base.mapInArrow(run, schema))
     rows = sig.select("id", "h1", "h2", "n").groupBy("id").agg(F.min(F.struct("h1", "h2", "n")).alias("c")).select("id", "c.*")
-    worded = rows.where("n > 0")
-    classes = worded.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    classes = rows.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     reps = sig.where("n > 0").join(classes, ["h1", "h2", "n"]).where("id = class_id").select("id", "copies", "chars", "h1", "keys").dropDuplicates(["id"])
     reps = cut(reps)
     nodes = reps.select("id", F.explode("keys").alias("node"))
