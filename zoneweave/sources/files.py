@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ FLOOR_COLUMNS = ("pnu", "jimok", "landuse_code", "landuse", "lot_area_m2", "lot_
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """(source, text) of all matching files below a folder; source is the path relative to it."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    root = F.lit(path.rstrip("/") + "/")
-    full = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z]+:/*(?=/)", ""))
+    root = re.sub(r"^[a-z]+:/*(?=/)", "", path.rstrip("/")) + "/"
+    full = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z]+:/*(?=/)", ""), F.lit("+"), F.lit("%2B")))
     return files.select(F.substring_index(full, root, -1).alias("source"), F.col("value").alias("text"))
 
 
