@@ -1,0 +1,532 @@
+"""Each training-data operator against brute force, round trips and hard inputs."""
+
+import base64
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from conftest import SF, rows_of
+from pyspark.sql import functions as F
+
+from zoneweave.llm import bpe, common, line_dedup, lm, mixing, ngram_join, pii, queries, sharding, tiff, toxicity, vector_join
+
+COPY = "one shared line that is long\nAnother line here\nshort\n" + " ".join(f"word{i}" for i in range(60))
+NEAR = COPY.replace("word30", "changed")
+LONG = " ".join(f"tok{i % 5000}" for i in range(60_000)) + "\n" + "x" * 50_000
+DOCS = [
+    (1, COPY, "en", "src1"), (2, COPY, "en", "src1"), (3, NEAR, "en", "src1"), (4, None, "en", "src0"), (5, "", None, None), (6, " \n ", "de", "src2"),
+    (7, LONG, "en", "src0"), (8, "mail a.b@c.de.fr or 1.2.3.4 and +49 (30) 123-4567", "de", "other"), (9, "You idiot moron, you pathetic loser", "fr", "src3"),
+    (9, "You idiot moron, you pathetic loser", "fr", "src3"), (None, "text without an id of some length", "en", "src1"), (10, "ÉTÉ\t été \r\n4111 1111 1111 1111", "es", "src4"),
+]
+#: Columns that clash with names used inside the operators.
+CLASH = ("id", "key", "n", "batch", "part", "keys", "h1", "comp", "pos", "line", "links", "label", "full", "rest", "found", "media", "page", "ids")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(DOCS, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("doc_id = -1")
+
+
+def by_id(df, *cols):
+    return {r.doc_id: tuple(r[c] for c in cols) for r in df.collect()}
+
+
+def real(spark, name):
+    return common.table(spark, SF, name)
+
+
+# ---- 1 line dedup
+
+
+def brute_lines(rows, min_docs=2):
+    holders = {}
+    split = [(i, (t or "").split("\n")) for i, t in rows]
+    norm = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s.strip(" \t\n\x0b\x0c\r"))
+    for i, lines in split:
+        for x in lines:
+            if i is not None and len(norm(x)) >= 10:
+                holders.setdefault(norm(x), set()).add(i)
+    out = []
+    for i, lines in split:
+        keep = [x for x in lines if i is None or len(holders.get(norm(x), ())) < min_docs or min(holders[norm(x)]) == i]
+        out.append((i, len(lines), len(lines) - len(keep), "\n".join(keep)))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("min_docs", [2, 3])
+def test_line_dedup(docs, none, min_docs):
+    got = line_dedup.dedup_lines(docs, min_docs=min_docs)
+    assert set(docs.columns) < set(got.columns)
+    assert sorted(str((r.doc_id, r.n_lines, r.n_dropped, r.text)) for r in got.collect()) == brute_lines([d[:2] for d in DOCS], min_docs)
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+# ---- 2 n-gram join
+
+
+def brute_join(rows, t=0.8):
+    sets = {}
+    for i, x in rows:
+        w = (x or "").lower().split()
+        k = min(5, max(1, len(w)))
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}
+    near = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t} for i in sets}
+    out = {}
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out[i] = (len(near[i]), min(seen), min(seen) == i)
+    return out
+
+
+def test_ngram_join(docs, none):
+    got = by_id(ngram_join.jaccard_join(docs), "n_links", "component_id", "kept")
+    assert got == brute_join([d[:2] for d in DOCS if d[0] is not None])
+    assert got[3][1] == 1 and got[6] == (2, 4, False)
+    assert ngram_join.jaccard_join(none).count() == 0
+
+
+def test_ngram_join_on_documents(spark):
+    d = real(spark, "documents")
+    got = by_id(ngram_join.jaccard_join(d), "n_links", "component_id", "kept")
+    assert got == brute_join([(r.doc_id, r.text) for r in d.collect()])
+
+
+def test_large_group_is_blocked(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        w[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(ngram_join.jaccard_join(df), "n_links", "component_id")
+    assert set(got.values()) == {(599, 0)}
+
+
+def test_forest_depth():
+    assert ngram_join.forest_depth(0.8) == 8 and ngram_join.forest_depth(0.8, trees=10) < 8
+    for trees in (5, 10, 40):
+        d = ngram_join.forest_depth(0.8, trees)
+        assert d == 1 or 1 - (1 - 0.8**d) ** trees >= ngram_join.RECALL
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
+    got = {r.id: r.comp for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    lab = {x: x for e in edges for x in e}
+    for _ in lab:
+        for u, v in edges:
+            lab[u] = lab[v] = min(lab[u], lab[v])
+    assert got == {x: lab[x] for e in edges if e[0] != e[1] for x in e}
+
+
+# ---- 3 PII
+
+
+def luhn_ok(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def brute_pii(x):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and luhn_ok(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda r: (r[1], pii.KINDS.index(r[0])))
+
+
+def test_pii_base_matches_plain_patterns():
+    rng = random.Random(2)
+    for _ in range(3000):
+        x = "".join(rng.choices("ab@.+- ()0123456789é,", weights=[3, 3, 3, 4, 2, 2, 2, 1, 1, *[2] * 10, 1, 1], k=rng.randrange(60)))
+        base = pii.base_spans(x)
+        got = sorted(((pii.KINDS[k], s, e) for k, part in enumerate(base) for s, e in part), key=lambda r: (r[1], pii.KINDS.index(r[0])))
+        assert got == brute_pii(x), x
+
+
+def test_pii(spark, docs, none):
+    got = by_id(pii.find_pii(docs), "n_email", "n_ip", "n_phone", "n_card", "base_sha256")
+    assert got[8][:3] == (1, 1, 1) and got[10][3] == 1 and got[4][4] == hashlib.sha256(b"").hexdigest()
+    assert pii.find_pii(none).count() == 0
+    q = pii.op3(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in real(spark, "documents").collect()}
+    for r in q:
+        want = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_pii(texts[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(want.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_pii_learns_reliabilities():
+    post, rate = pii.reliabilities(["+++0+", "0-0--", "+0+0+", "-0---"], np.array([500.0, 400.0, 80.0, 60.0]))
+    assert post[0] > 0.9 and post[1] < 0.1 and rate[0, 1, 2] > rate[0, 0, 2]
+    p = pii.classify([(0, "+++0+"), (3, "0++0+"), (2, "--0--")], np.array([100.0, 5.0, 50.0]))
+    assert p[0, "+++0+"] > 0.9 and p[2, "--0--"] < 0.5
+
+
+# ---- 4 mixing and 10 sharding
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, duck, name):
+    assert rows_of(queries.queries()[name](spark, SF).toPandas()) == rows_of(duck(queries.oracle_sql()[name]))
+
+
+def fill_by_hand(budget, caps, weights):
+    alloc, open_ = [0.0] * len(caps), set(range(len(caps)))
+    while open_ and budget > 1e-9:
+        total = sum(weights[i] for i in open_)
+        full = [i for i in open_ if caps[i] - alloc[i] <= budget * weights[i] / total]
+        if not full:
+            return [math.floor(a + budget * weights[i] / total + 1e-9) if i in open_ else a for i, a in enumerate(alloc)]
+        for i in full:
+            budget -= caps[i] - alloc[i]
+            alloc[i] = caps[i]
+            open_.discard(i)
+    return alloc
+
+
+def test_shortages_go_to_siblings(spark):
+    rng = random.Random(7)
+    for _ in range(4):
+        caps, weights = [rng.randrange(1, 500) for _ in range(6)], [rng.randrange(1, 9) for _ in range(6)]
+        budget = rng.randrange(1, 1500)
+        df = spark.createDataFrame([(0, str(i), c, w, budget) for i, (c, w) in enumerate(zip(caps, weights, strict=True))], "p int, name string, cap long, w long, budget long")
+        got = [r.alloc for r in mixing.fill(df, ["p"], ["name"]).orderBy("name").collect()]
+        assert np.abs(np.array(got) - fill_by_hand(budget, caps, weights)).max() <= 1
+
+
+def test_mixing(docs, none):
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    got = mixing.mix(docs, levels, {"lang": {"en": 1, "de": 9}}, share=0.5, max_epochs=2)
+    assert got.count() == len(DOCS) and set(docs.columns) < set(got.columns)
+    taken, total = got.selectExpr("sum(copies * n_tokens)", "sum(n_tokens)").first()
+    assert taken <= 0.5 * total
+    assert mixing.mix(none, levels, {}).count() == 0
+    every = mixing.mix(docs, levels, {}, share=1.0, max_epochs=1)
+    assert every.where("n_tokens > 0 and copies <> 1").count() == 0
+
+
+def test_sharding(docs, none):
+    names = sharding.production_shards()
+    table = sharding.lookup_table(names, sharding.SLOTS)
+    counts = np.bincount(table)
+    assert counts.max() - counts.min() <= 1
+    fewer = sharding.lookup_table(names[:-1], sharding.SLOTS)
+    moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a != len(names) - 1)
+    assert moved < 0.1 * sharding.SLOTS
+    got = sharding.assign_shards(docs, F.col("doc_id"), names)
+    assert got.count() == len(DOCS) and got.where("shard is null").count() == 0
+    assert sharding.assign_shards(none, F.col("doc_id"), names).count() == 0
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 100)
+
+
+# ---- 5 LM scoring
+
+
+def words(x):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+
+
+def test_lm_base(spark):
+    rows = [(r.doc_id, r.text) for r in real(spark, "documents").collect()]
+    count = {}
+    for i, x in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for w in [*words(x), None]:
+                count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+    got = lm.op5(spark, SF).collect()
+    texts = dict(rows)
+    for r in got:
+        t = [*words(texts[r.doc_id]), None]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in count for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel=1e-9)
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_is_a_distribution():
+    rng = np.random.default_rng(3)
+    lam = lm.mixture([(1, 10, 5.0, 1.0), (3, 20, 2.0, 2.0), (0, 5, 0.0, 1.0)], 50)
+    assert np.allclose(lam.sum(axis=1), 1) and lam[0, 0] == 0 and (lam[:, 2] > 0).all()
+    c = rng.integers(1, 9, 50).astype(float)
+    b, p2, p1, p0 = lm.parts_of(c, np.full(50, c.sum()), c, int(c.sum()), 50)
+    assert (lam[b][:, 0] * p2 + lam[b][:, 1] * p1).sum() + lam[b[0], 2] * 51 * p0 == pytest.approx(1)
+
+
+def test_lm_by_hand(spark):
+    """The whole model against plain counting: bigrams, contexts, EM table and mixture."""
+    rows = [(i, f"a b c d{i % 3} a b") for i in range(40)]
+    got = by_id(lm.interpolated_scores(spark.createDataFrame(rows, "doc_id long, text string")), "score", "held_out")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+
+    def counts(ids):
+        uni, bi, ctx = {}, {}, {}
+        for i in ids:
+            t = [*rows[i][1].split(), "</s>"]
+            for a, b in zip(["<s>", *t[:-1]], t, strict=True):
+                uni[b] = uni.get(b, 0) + 1
+                bi[a, b] = bi.get((a, b), 0) + 1
+                ctx[a] = ctx.get(a, 0) + 1
+        return uni, bi, ctx
+
+    def estimates(i, c):
+        uni, bi, ctx = c
+        t = [*rows[i][1].split(), "</s>"]
+        for a, b in zip(["<s>", *t[:-1]], t, strict=True):
+            f = ctx.get(a, 0)
+            yield (int(math.log2(f)) + 1 if f else 0), (bi.get((a, b), 0) / f if f else 0), uni.get(b, 0) / sum(uni.values()), 1 / (len(uni) + 1)
+
+    est = counts([i for i, _ in rows if fold(i) not in (1, 2)])
+    held = [(k, 1, p2, p1) for i, _ in rows if fold(i) == 2 for k, p2, p1, _ in estimates(i, est)]
+    lam = lm.mixture(held, len(est[0]))
+    full = counts([i for i, _ in rows if fold(i) != 1])
+    for i, _ in rows:
+        want = sum(math.log10(lam[k, 0] * p2 + lam[k, 1] * p1 + lam[k, 2] * p0) for k, p2, p1, p0 in estimates(i, full))
+        assert got[i] == (pytest.approx(want, rel=2e-3), fold(i) == 1)
+
+
+def test_lm_hard_inputs(docs, none):
+    got = lm.interpolated_scores(docs).collect()
+    assert len(got) == len(DOCS) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (4, 5, 6)} == {1}
+    assert lm.interpolated_scores(none).count() == 0
+
+
+def test_span_hashes_do_not_depend_on_windows():
+    buf = np.frombuffer(b"ab cd " * 50, np.uint8)
+    s = np.arange(0, 300, 3)
+    h = common.SpanHasher()
+    whole = common.hash_spans(buf, s, s + 2, h)
+    h.CHUNK = 10
+    assert (common.hash_spans(buf, s, s + 2, h) == whole).all() and len(set(whole.tolist())) == 2
+
+
+# ---- 6 toxicity
+
+
+def test_toxicity(spark, docs, none):
+    d, labels = real(spark, "documents"), real(spark, "labels")
+    model = toxicity.train_toxicity(d, labels)
+    got = by_id(toxicity.score_toxicity(docs, model), "score")
+    assert len(got) == 11 and all(0 <= s <= 1 for (s,) in got.values())
+    assert got[9][0] >= toxicity.THRESHOLD and got[4] == got[5] == got[6] and got[1][0] < toxicity.THRESHOLD
+    assert toxicity.score_toxicity(none, model).count() == 0
+    q = toxicity.op6(spark, SF).join(labels, "doc_id").collect()
+    assert all(r.predicted == 0 for r in q if r.toxic == 0)
+    toxic = [r for r in q if r.toxic == 1]
+    assert sum(r.score for r in toxic) / len(toxic) > 2 * sum(r.score for r in q if r.toxic == 0) / max(1, sum(r.toxic == 0 for r in q))
+
+
+def test_toxicity_held_out_accuracy(spark):
+    path = "/root/testdata/sf0.1"
+    d, labels = common.table(spark, path, "documents"), common.table(spark, path, "labels")
+    held = d.join(labels.where(common.fold("doc_id", 3) == 1), "doc_id")
+    got = toxicity.score_toxicity(held.select("doc_id", "text", "toxic"), toxicity.train_toxicity(d, labels)).collect()
+    hit = lambda y: [r for r in got if r.toxic == y]
+    assert sum(r.score >= 0.7 for r in hit(1)) >= 0.9 * len(hit(1))
+    assert sum(r.score >= 0.7 for r in hit(0)) <= 0.01 * len(hit(0))
+
+
+def test_toxicity_without_labels(spark, docs):
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    got = by_id(toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels)), "score")
+    assert got[9][0] > 0.7 > got[1][0]
+
+
+def test_label_model_shares_the_say_of_copies():
+    rng = np.random.default_rng(0)
+    y = rng.random(800) < 0.3
+    good = np.where(rng.random(800) < 0.9, y, ~y)
+    bad = np.where(rng.random(800) < 0.6, y, ~y)
+    votes = np.stack([good, bad, bad, bad, bad], axis=1).astype(float)
+    post = toxicity.label_model(votes, y.astype(int))
+    assert ((post > 0.5) == y).mean() > 0.9
+
+
+# ---- 7 TIFF
+
+
+@pytest.mark.parametrize("kind", [tiff.RAW, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
+@pytest.mark.parametrize("tile", [0, 16, 32])
+@pytest.mark.parametrize("predictor", [1, 2])
+def test_tiff_round_trip(kind, tile, predictor):
+    rng = np.random.default_rng(1)
+    for h, w, n in ((1, 1, 1), (5, 64, 3), (130, 33, 3), (70, 16, 1)):
+        x = rng.integers(0, 4, (h, w, n)).astype(np.uint8) * 60
+        data = tiff.write_tiff(x, kind, predictor, tile)
+        ((order, tags),) = tiff.directories(data)
+        got, how = tiff.read_page(data, order, tags)
+        assert (got == x).all() and how["layout"] == ("tiles" if tile else "strips")
+
+
+def test_codecs():
+    rng = random.Random(5)
+    for n, alpha in itertools.product((0, 1, 2, 129, 5000, 60_000), (b"a", b"ab", bytes(range(256)))):
+        x = bytes(rng.choices(alpha, k=n))
+        assert tiff.lzw_decode(tiff.lzw_encode(x), n) == x and tiff.unpack_bits(tiff.pack_bits(x), n) == x
+
+
+def test_lzw_known_bytes():
+    # clear, 7, 258, 8, 8, 258, 6, end: the worked example of the format's specification
+    data = np.packbits([int(c) for v in (256, 7, 258, 8, 8, 258, 6, 257) for c in f"{v:09b}"]).tobytes()
+    assert tiff.lzw_decode(data, 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6])
+    assert tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6])) == data
+
+
+def big_endian_two_pages():
+    import struct
+
+    def ifd(at, nxt, tags):
+        return struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHI", t, f, 1) + (struct.pack(">HH", v, 0) if f == 3 else struct.pack(">I", v)) for t, f, v in tags) + struct.pack(">I", nxt)
+
+    tags = lambda off, n: [(256, 3, 2), (257, 3, n), (258, 3, 16), (259, 3, 1), (262, 3, 1), (273, 4, off), (277, 3, 1), (278, 3, n), (279, 4, 4 * n)]
+    size = 2 + 12 * 9 + 4
+    first, second = 8 + 12, 8 + 12 + size
+    return struct.pack(">2sHI", b"MM", 42, first) + struct.pack(">6H", 1, 2, 3, 4, 500, 600) + ifd(first, second, tags(8, 2)) + ifd(second, 0, tags(16, 1))
+
+
+def test_tiff_pages(spark, docs, none):
+    good = big_endian_two_pages()
+    loop = good[:-4] + good[4:8]
+    files = spark.createDataFrame([(1, good), (2, None), (3, b""), (4, b"II*\0junk"), (5, loop), (6, good[:60]), (1, good)], "k int, media binary")
+    got = sorted((r.k, r.page if r.page is not None else -1, r.error is not None, r.height) for r in tiff.tiff_pages(files, "media", ["k"]).collect())
+    assert got.count((1, 0, False, 2)) == 2 and got.count((1, 1, False, 1)) == 2
+    assert all(any(k == x and bad for k, _, bad, _ in got) for x in (2, 3, 4, 5, 6))
+    px = tiff.tiff_pages(files.where("k = 1"), "media", ["k"]).where("page = 1").first()
+    assert np.frombuffer(px.pixels, np.uint16).tolist() == [500, 600]
+    with pytest.raises(ValueError):
+        tiff.tiff_pages(files.withColumnRenamed("k", "page"), "media", ["page"])
+    pages = tiff.tiff_pages(tiff.store_texts(docs), "media", ["doc_id", "n_bytes"]).collect()
+    for (i, t, *_), r in zip(DOCS, pages, strict=True):
+        raw = (t or "").encode()
+        assert (r.doc_id, r.n_bytes, r.error) == (i, len(raw), None) and bytes(r.pixels) == raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+    assert tiff.tiff_pages(tiff.store_texts(none), "media", ["doc_id"]).count() == 0
+
+
+# ---- 8 vectors
+
+
+def brute_vectors(rows, t=0.98):
+    ok = {i: (np.array(v, float), lab) for i, v, lab in rows if lab is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
+    near = {i: set() for i, *_ in rows}
+    for i, j in itertools.combinations(ok, 2):
+        (a, la), (b, lb) = ok[i], ok[j]
+        if la == lb and len(a) == len(b) and a @ b / math.sqrt((a @ a) * (b @ b)) >= t:
+            near[i].add(j)
+            near[j].add(i)
+    out = {}
+    for i in near:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out[i] = (len(near[i]), min(seen), min(seen) == i)
+    return out
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(12):
+        center = rng.normal(size=6)
+        rows += [(c * 30 + i, (center + rng.normal(size=6) * 0.12 * (i % 5)).tolist(), c % 3) for i in range(30)]
+    rows += [(900 + i, rows[0][1], 0) for i in range(20)]  # exact copies
+    rows += [(1000, None, 1), (1001, [0.0] * 6, 1), (1002, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (1003, [float("nan")] * 6, 1), (1004, [float("inf")] + [0.0] * 5, 1), (1005, rows[0][1], None), (1006, [1.0, 2.0], 0), (1007, [2.0, 4.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("own"))
+    for pivots in (1, 4, 16):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.cosine_join(df, pivots=pivots).collect()}
+        assert got == brute_vectors(rows)
+    assert vector_join.cosine_join(df.where("vec_id < 0")).count() == 0
+    again = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.cosine_join(df.union(df.where("vec_id < 40"))).collect()}
+    assert again == brute_vectors(rows)
+
+
+def test_vectors_on_embeddings(spark):
+    e = real(spark, "embeddings").collect()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.op8(spark, SF).collect()}
+    assert got == brute_vectors([(r.vec_id, r.embedding, r.label) for r in e])
+
+
+# ---- 9 BPE
+
+
+@pytest.fixture(scope="module")
+def encoding(spark):
+    import tiktoken
+
+    ranks, pattern = bpe.production(spark)
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}), ranks, pattern
+
+
+def test_bpe(docs, none, encoding):
+    enc, ranks, pattern = encoding
+    got = bpe.bpe_encode(docs, ranks, pattern, ["doc_id"]).collect()
+    for (i, t, *_), r in zip(DOCS, got, strict=True):
+        assert r.doc_id == i and list(r.ids) == enc.encode_ordinary(t or "") and bytes(r.decoded) == (t or "").encode()
+    assert bpe.bpe_encode(none, ranks, pattern, ["doc_id"]).count() == 0
+    digest = bpe.bpe_encode(docs, ranks, pattern, ["doc_id"], digest=True).collect()
+    for (_, t, *_), r in zip(DOCS, digest, strict=True):
+        ids = enc.encode_ordinary(t or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_bpe_pieces(encoding):
+    enc, ranks, _ = encoding
+    pairs = bpe.PairTable(bpe.load_ranks(ranks))
+    rng = random.Random(6)
+    pieces = [bytes(rng.choices(b"aabcdeinrst \n\xc3\xa9", k=k)) for k in (1, 2, 3, 7, 8, 9, 31, 64, 127, 128, 129, 400, 2000) for _ in range(12)]
+    pieces += [b"a" * k for k in (2, 3, 64, 129, 1000, 5001)]
+    assert bpe.encode_pieces(pieces, pairs) == [enc._core_bpe.encode_single_piece(p) for p in pieces]
+
+
+# ---- pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as cp
+
+    docs = real(spark, "documents")
+    for name, stage in cp.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        out = stage(spark, docs, SF)
+        assert out.columns == cp.COLUMNS
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        after = {r.doc_id: r.text for r in docs.collect()}
+        assert set(after) <= set(before)
+        if name == "line_dedup":
+            assert sorted(map(str, after.items())) == sorted(str((r[0], r[3])) for r in map(eval, brute_lines(list(before.items()))))
+        elif name == "near_dedup":
+            assert set(after) == {i for i, (_, _, kept) in brute_join(list(before.items())).items() if kept}
+    last = cp.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == docs.count() and last.where("not round_trip").count() == 0
+
+
+def test_run(spark):
+    import corpus_pipeline as cp
+
+    assert 0 < cp.run(spark, SF).count() <= real(spark, "documents").count()
+    assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None

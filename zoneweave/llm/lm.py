@@ -181,7 +181,7 @@ def _held_out(totals):
         k, p2, p1, _ = parts_of(*((t - d)[m] for t, d in zip(b.train, b.dev, strict=True)), n, v)
         q2, q1 = (np.where(p > 0, np.minimum(np.rint(-STEPS * np.log10(np.maximum(p, 1e-300))), STEPS * SPAN - 1), STEPS * SPAN).astype(np.int64) for p in (p2, p1))
         code, at = np.unique((k * (STEPS * SPAN + 1) + q2) * (STEPS * SPAN + 1) + q1, return_inverse=True)
-        return pa.table({"code": code, "n": np.bincount(at, minlength=len(code)).astype(np.int64), "p2": np.bincount(at, p2, len(code)), "p1": np.bincount(at, p1, len(code))})
+        return pa.table({"code": code, "n": np.bincount(at, minlength=len(code)).astype(np.int64), "p2": np.bincount(at, p2, len(code)).astype(float), "p1": np.bincount(at, p1, len(code)).astype(float)})
 
     return run, "code long, n long, p2 double, p1 double"
 

@@ -15,7 +15,7 @@ from .common import SpanHasher, bound_batches, fold, hash_spans, table, texts_of
 INSULTS = ("clown", "disgusting", "dumb", "filth", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 #: Labelled rows a class that the classifier is fitted on, at most; bits of a feature's id; induced voters; weights kept.
 PER_CLASS, ID_BITS, INDUCED, KEPT = 3000, 32, 96, 1024
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8, 9)
 THRESHOLD = 0.7
 
 _LETTER = np.ones(256, bool)
@@ -179,11 +179,13 @@ def fit(sets: list[np.ndarray], shout: np.ndarray, gold: np.ndarray, hasher: Spa
     # texts of label 1 enter a second time with one voter and what fires with it: one insult is enough
     rng, toxic = np.random.default_rng(5), np.flatnonzero(post > 0.5)
     voters = place[top][place[top] >= 0]
-    fires = x[np.ix_(toxic, voters)] * rng.random((len(toxic), len(voters)))
-    one = fires.max(axis=1, initial=0) > 0
-    alone = x[toxic[one]] * (corr[voters[fires[one].argmax(axis=1)]] >= 0.5)
-    x = np.concatenate([x, alone.astype(np.float32)])
-    y = np.append(post, np.ones(len(alone)))
+    y = post
+    if len(voters) and len(toxic):
+        fires = x[np.ix_(toxic, voters)] * rng.random((len(toxic), len(voters)))
+        one = fires.max(axis=1) > 0
+        alone = x[toxic[one]] * (corr[voters[fires[one].argmax(axis=1)]] >= 0.5)
+        x = np.concatenate([x, alone.astype(np.float32)])
+        y = np.append(post, np.ones(len(alone)))
     w, bias = start.copy(), -3.0
     mass = np.where(y > 0.5, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
     m, v = np.zeros(len(strong) + 1), np.zeros(len(strong) + 1)
