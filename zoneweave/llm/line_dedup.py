@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, salted_join
 
 #: The white space stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,7 +23,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Only two 64-bit hashes of a key, ids and positions are shuffled for the counting; the texts
     are shuffled once, to meet their dropped positions. Counting combines on the map side, so a
-    line in a third of all documents costs one row a task; the join back is one that AQE can split.
+    line in a third of all documents costs one row a task; the join back is salted.
 
     Null or empty text: one empty line, never dropped. Null id: the row keeps all its lines and
     counts for no key. Rows that repeat an id count as one document; each is cut by its own lines.
@@ -46,7 +46,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         counts = lines.select(*hashes, t + "id").distinct().groupBy(*hashes).agg(F.min(t + "id").alias(t + "first"), F.count("*").alias(t + "n")).where(F.col(t + "n") >= min_docs)
     dropped = (
-        lines.join(counts.select(*hashes, t + "first"), hashes)
+        salted_join(lines, counts.select(*hashes, t + "first"), hashes, [t + "id", t + "pos"])
         .where(F.col(t + "id") != F.col(t + "first"))
         .groupBy(t + "id", t + "row")
         .agg(F.collect_set(t + "pos").alias(t + "drop"))

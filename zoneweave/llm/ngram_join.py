@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, bound_batches, components, cut, grouped, hash_spans, mix64, table, texts_of
+from .common import SpanHasher, bound_batches, components, cut, grouped, hash_spans, mix64, salted_join, table, texts_of
 
 #: Tries in the forest, longest prefix of a trie, wanted recall of links at the threshold.
 TREES, DEPTH, RECALL = 40, 8, 0.999
@@ -194,14 +194,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sig = cut(base.mapInArrow(run, schema))
     rows = sig.select("id", "h1", "h2", "n").groupBy("id").agg(F.min(F.struct("h1", "h2", "n")).alias("c")).select("id", "c.*")
     classes = rows.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    reps = sig.where("n > 0").join(classes, ["h1", "h2", "n"]).where("id = class_id").select("id", "copies", "chars", "h1", "keys").dropDuplicates(["id"])
+    reps = salted_join(sig.where("n > 0"), classes, ["h1", "h2", "n"], ["id"]).where("id = class_id").select("id", "copies", "chars", "h1", "keys").dropDuplicates(["id"])
     reps = cut(reps)
     nodes = reps.select("id", F.explode("keys").alias("node"))
     stars = nodes.groupBy("node").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("node", "lead")
-    cells = components(nodes.join(stars, "node").where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")))
+    cells = components(salted_join(nodes, stars, ["node"], ["id"]).where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")))
     members = cut(cells.join(reps.select("id", "copies", "chars", "h1"), "id"))
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("chars") / F.lit(BLOCK_CHARS))).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = salted_join(members, sizes, ["comp"], ["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     texts = base.join(dealt.select("id", "comp", "copies", "block", "blocks", "h1"), "id")
     pairs = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "block", "copies", "h1", "text"
@@ -212,7 +212,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
     reps = reps.select(F.col("id").alias("class_id")).join(links.withColumnRenamed("id", "class_id"), "class_id", "left").join(groups.withColumnRenamed("id", "class_id"), "class_id", "left")
     by_class = classes.join(reps, "class_id", "left")
-    return rows.join(by_class, ["h1", "h2", "n"], "left").select(
+    return salted_join(rows, by_class, ["h1", "h2", "n"], ["id"], "left").select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),

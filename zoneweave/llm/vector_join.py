@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, cut, grouped, table
+from .common import bound_batches, components, cut, grouped, salted_join, table
 from .ngram_join import roots
 
 #: Pivots, the bounded sample they are picked from, and vectors on one side of a block.
@@ -125,7 +125,7 @@ def cosine_join(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     ids = hashed.groupBy("id").agg(F.min(F.struct(~F.col("ok"), "label", "h1", "h2")).alias("c")).select("id", "c.label", "c.h1", "c.h2")
     classes = ids.where("h1 is not null").groupBy("label", "h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     named = rows.where("ok").withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit("v"), "vec"))
-    reps = named.join(classes, ["label", "h1", "h2"]).where("id = class_id").dropDuplicates(["id"]).select("id", "label", "copies", "vec")
+    reps = salted_join(named, classes, ["label", "h1", "h2"], ["id"]).where("id = class_id").dropDuplicates(["id"]).select("id", "label", "copies", "vec")
     reps = cut(reps)
     picked = [np.asarray(x[0]) for x in reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").collect()]
     dim = max({len(x) for x in picked}, key=[len(x) for x in picked].count, default=0)
@@ -133,7 +133,7 @@ def cosine_join(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     run, schema = _assign(p, r)
     dealt = cut(reps.mapInArrow(run, schema))
     sizes = dealt.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("ni"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nj"))
-    dealt = dealt.join(sizes.where("ni > 0"), "cell")
+    dealt = salted_join(dealt, sizes.where("ni > 0"), ["cell"], ["id"])
     side = lambda rows, at, of, n, s: rows.select("cell", F.pmod(F.xxhash64("id"), F.col(of)).cast("int").alias(at), F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(f"o{at}"), F.lit(s).alias("side"), "id", "copies", "vec")
     homes = side(dealt.where("home"), "i", "ni", "nj", True).withColumnRenamed("oi", "j")
     others = side(dealt, "j", "nj", "ni", False).withColumnRenamed("oj", "i")
@@ -143,7 +143,7 @@ def cosine_join(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     links = found.groupBy(F.col("id").alias("class_id")).agg(F.sum("links").alias("links"))
     groups = components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("id", "class_id")
     by_class = classes.join(links, "class_id", "left").join(groups, "class_id", "left")
-    return ids.join(by_class, ["label", "h1", "h2"], "left").select(
+    return salted_join(ids, by_class, ["label", "h1", "h2"], ["id"], "left").select(
         F.col("id").alias(id_col),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("comp", "class_id", "id").alias("component_id"),
