@@ -14,7 +14,7 @@ from .common import SpanHasher, bound_batches, fold, hash_spans, table, texts_of
 #: Insults that the first voter looks for.
 INSULTS = ("clown", "disgusting", "dumb", "filth", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 #: Labelled rows a class that the classifier is fitted on, at most; bits of a feature's id; induced voters; weights kept.
-PER_CLASS, ID_BITS, INDUCED, KEPT = 3000, 32, 96, 1024
+PER_CLASS, ID_BITS, INDUCED, KEPT = 2000, 32, 96, 1024
 PREFIXES = (4, 5, 6, 7, 8, 9)
 THRESHOLD = 0.7
 
@@ -132,6 +132,14 @@ def apart(sets: list[np.ndarray], bands: int = 8, near: float = 0.5) -> list[int
     return keep
 
 
+def common_ids(sets: list[np.ndarray], least: int = 3) -> np.ndarray:
+    """Ids in at least so many sets, sorted: rarer ones can never gain the evidence that a weight needs."""
+    every = np.sort(np.concatenate(sets))
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
+    names = every[first][np.diff(np.append(first, len(every))) >= least]
+    return names if len(names) else every[:1]
+
+
 def fit(sets: list[np.ndarray], shout: np.ndarray, gold: np.ndarray, hasher: SpanHasher) -> Model:
     """Voters, label model and classifier from at most 2 * PER_CLASS labelled rows; copies count once."""
     lexicon = features(list(INSULTS), hasher)
@@ -140,9 +148,11 @@ def fit(sets: list[np.ndarray], shout: np.ndarray, gold: np.ndarray, hasher: Spa
     sets, shout, gold = [sets[i] for i in keep], shout[keep], gold[keep]
     if not len(sets) or gold.min() == gold.max():
         return Model(lex, np.full(len(lex), 6.0), -4.0)
-    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    names, feat = np.unique(np.concatenate(sets), return_inverse=True)
-    names, feat, doc = names.astype(np.int64), feat.astype(np.int32), doc.astype(np.int32)
+    names = common_ids(sets)
+    at = [np.searchsorted(names, x) for x in sets]
+    at = [i[names[np.minimum(i, len(names) - 1)] == x] for i, x in zip(at, sets, strict=True)]
+    doc, feat = np.repeat(np.arange(len(sets), dtype=np.int32), [len(i) for i in at]), np.concatenate(at).astype(np.int32)
+    names = names.astype(np.int64)
     size = len(names)
     odds, z = evidence(doc, feat, gold.astype(float), size)
     top = np.argsort(-z, kind="stable")[:INDUCED]
