@@ -39,7 +39,8 @@ def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str]
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     each = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(each, [*keys, "_salt"], how).drop("_salt")
+    # a merge join: the repeated side would look small once compressed and then fill the driver as a broadcast
+    return dealt.join(each.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def cut_partitioned(df: DataFrame) -> DataFrame:
@@ -171,16 +172,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each is a grouped minimum
     with map-side combining and a join, never a group gathered in one task. Every round is
-    checkpointed, joins are salted against hubs, and the loop ends when a round leaves the edge set as it was.
+    checkpointed, and the loop ends when a round leaves the edge set as it was.
     """
     e = cut(edges.where("u is not null and v is not null and u <> v").selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct())
     seen = None
     while True:
         sym = e.unionByName(e.selectExpr("v as u", "u as v"))
         m = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted_join(sym.where("v > u"), m, ["u"], ["v"]).selectExpr("v as u", "m as v").where("u <> v").distinct()
+        large = sym.where("v > u").join(m, "u").selectExpr("v as u", "m as v").where("u <> v").distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, m, ["u"], ["v"])
+        small = large.join(m, "u")
         e = cut(small.selectExpr("v as u", "m as v").where("u <> v").unionByName(small.selectExpr("u", "m as v")).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
