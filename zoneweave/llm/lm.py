@@ -22,6 +22,8 @@ END, START = np.uint64(0x5EED0000000000E0), np.uint64(0x5EED0000000000A0)
 #: Context-frequency buckets (powers of two) and steps a factor of ten in the held-out table.
 BUCKETS, STEPS, SPAN = 40, 12, 20
 EM_ROUNDS = 40
+#: Tokens scored at a time.
+SLICE = 1 << 18
 
 
 def tokens(texts: list[bytes], hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +42,7 @@ def tokens(texts: list[bytes], hasher: SpanHasher) -> tuple[np.ndarray, np.ndarr
         e = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
         doc = np.searchsorted(ends_of, s, "right")
         out = np.full(len(s) + to - at, END, np.uint64)
-        out_doc = np.empty(len(out), np.int64)
+        out_doc = np.empty(len(out), np.int32)
         words = np.arange(len(s)) + doc
         out[words], out_doc[words] = hash_spans(buf, s, e, hasher) & ~np.uint64(1), doc
         stop = np.bincount(doc, minlength=to - at).cumsum() + np.arange(to - at)
@@ -49,7 +51,7 @@ def tokens(texts: list[bytes], hasher: SpanHasher) -> tuple[np.ndarray, np.ndarr
         docs.append(out_doc + base)
         base += to - at
         at = to
-    return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 def ngrams(uni: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +91,40 @@ def unpack(blobs: list[bytes]) -> tuple[list, np.ndarray, list[bytes]]:
 
 
 def _batch_keys(parts: np.ndarray, texts: list[bytes], hasher: SpanHasher):
+    """Keys of all tokens, then bigrams, then one head a text; the text of each token; the fold (3 and more as 3) of each token and text."""
     uni, doc = tokens(texts, hasher)
-    ctx, bi = ngrams(uni, doc)
-    return uni, doc, ctx, bi, parts[doc] if len(doc) else np.zeros(0, np.int64)
+    fold_ = np.clip(parts, -1, 3).astype(np.int8)
+    return np.concatenate([uni, ngrams(uni, doc)[1], np.full(len(parts), START, np.uint64)]), doc, fold_[doc], fold_
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of sorted keys and how often each is there."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in rising order and each key's position there, in 32 bits: np.unique holds two thirds more at its peak."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    keys = keys[new]
+    at = np.empty(len(order), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys, at
+
+
+def batch_counts(parts: np.ndarray, texts: list[bytes], hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a batch with their counts in training texts and in held-out ones of these."""
+    keys, _, part, heads = _batch_keys(parts, texts, hasher)
+    of = np.concatenate([part, part, heads])
+    some = [runs(np.sort(keys[of == f])) for f in (1, 2)]
+    keys.sort()
+    keys, train = runs(keys)
+    dev = np.zeros_like(train)
+    train[np.searchsorted(keys, some[0][0])] -= some[0][1]
+    dev[np.searchsorted(keys, some[1][0])] = some[1][1]
+    return keys, train, dev
 
 
 def _ask(n_buckets: int):
@@ -102,15 +135,7 @@ def _ask(n_buckets: int):
         hasher = SpanHasher()
         for (batch,), t in grouped(batches, ["batch"]):
             _, parts, texts = unpack(t.column("docs").to_pylist())
-            uni, doc, ctx, bi, part = _batch_keys(parts, texts, hasher)
-            heads = np.full(len(parts), START, np.uint64)
-            keys, of = np.concatenate([uni, bi, heads]), np.concatenate([part, part, parts])
-            order = np.argsort(keys, kind="stable")
-            keys, of = keys[order], of[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            train = np.add.reduceat((of != 1).astype(np.int64), first)
-            dev = np.add.reduceat((of == 2).astype(np.int64), first)
-            keys = keys[first]
+            keys, train, dev = batch_counts(parts, texts, hasher)
             at = np.append(np.searchsorted(keys, edges), len(keys))
             for k in range(n_buckets):
                 s, e = at[k], at[k + 1]
@@ -131,7 +156,8 @@ def _answer():
             who = t.column("batch").to_pylist()
             keys = [np.cumsum(get(b, np.uint64), dtype=np.uint64) for b in t.column("keys").to_pylist()]
             size = np.cumsum([len(k) for k in keys])[:-1]
-            uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
+            uniq, at = ranked(np.concatenate(keys))
+            del keys
             sums = [np.bincount(at, np.concatenate([get(b, np.uint32) for b in t.column(c).to_pylist()]), len(uniq)).astype(np.int64) for c in ("train", "dev")]
             est = sums[0] - sums[1]
             word = ((uniq & np.uint64(1)) == 0) & (uniq != START)
@@ -151,18 +177,22 @@ class Batch:
 
     def __init__(self, docs: pa.Table, counts: pa.Table, hasher: SpanHasher):
         self.ids, self.parts, texts = unpack(docs.column("docs").to_pylist())
-        uni, self.doc, ctx, bi, self.part = _batch_keys(self.parts, texts, hasher)
-        uniq, at = np.unique(np.concatenate([uni, bi, np.full(len(self.parts), START, np.uint64)]), return_inverse=True)
+        keys, self.doc, self.part, _ = _batch_keys(self.parts, texts, hasher)
+        n, size = len(self.doc), len(keys)
+        uniq, at = ranked(keys)
+        del keys
         counts = counts.sort_by("bucket")
-        train, dev = (np.concatenate([get(b, np.uint64) for b in counts.column(c).to_pylist()] or [np.zeros(0, np.uint64)]).astype(np.int64) for c in ("train", "dev"))
-        if len(train) != len(uniq):
-            raise ValueError(f"counts of {len(train)} keys for {len(uniq)}")
-        n = len(uni)
+        self.train, self.dev = (np.concatenate([get(b, np.uint64) for b in counts.column(c).to_pylist()] or [np.zeros(0, np.uint64)]).astype(np.int64) for c in ("train", "dev"))
+        if len(self.train) != len(uniq):
+            raise ValueError(f"counts of {len(self.train)} keys for {len(uniq)}")
         start = np.concatenate([[True], self.doc[1:] != self.doc[:-1]])[:n]
-        ctx_at = np.concatenate([[0], at[: max(n - 1, 0)]])[:n]
-        ctx_at[start] = at[2 * n] if n else 0
-        self.train = [train[at[n : 2 * n]], train[ctx_at], train[at[:n]]]  # bigram, context, token
-        self.dev = [dev[at[n : 2 * n]], dev[ctx_at], dev[at[:n]]]
+        ctx = np.concatenate([at[:1], at[: max(n - 1, 0)]])[:n]
+        ctx[start] = at[size - 1] if size else 0
+        self.at = [at[n : 2 * n], ctx, at[:n]]  # bigram, context, token
+
+    def counted(self, of: np.ndarray, which) -> list[np.ndarray]:
+        """Counts of bigram, context and token of some tokens: `of` holds those of all keys."""
+        return [of[at[which]] for at in self.at]
 
 
 def parts_of(bigram, context, token, n: int, v: int):
@@ -177,8 +207,7 @@ def _held_out(totals):
 
     def run(left, right):
         b = Batch(left, right, SpanHasher())
-        m = b.part == 2
-        k, p2, p1, _ = parts_of(*((t - d)[m] for t, d in zip(b.train, b.dev, strict=True)), n, v)
+        k, p2, p1, _ = parts_of(*b.counted(b.train - b.dev, np.flatnonzero(b.part == 2)), n, v)
         q2, q1 = (np.where(p > 0, np.minimum(np.rint(-STEPS * np.log10(np.maximum(p, 1e-300))), STEPS * SPAN - 1), STEPS * SPAN).astype(np.int64) for p in (p2, p1))
         code, at = np.unique((k * (STEPS * SPAN + 1) + q2) * (STEPS * SPAN + 1) + q1, return_inverse=True)
         return pa.table({"code": code, "n": np.bincount(at, minlength=len(code)).astype(np.int64), "p2": np.bincount(at, p2, len(code)).astype(float), "p1": np.bincount(at, p1, len(code)).astype(float)})
@@ -213,15 +242,19 @@ def _score(totals, lam: np.ndarray):
 
     def run(left, right):
         b = Batch(left, right, SpanHasher())
-        k, p2, p1, p0 = parts_of(*b.train, n, v)
-        w = lam[k]
-        p = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
-        c = b.train[2]
-        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+        p, base, known = np.empty(len(b.doc)), np.empty(len(b.doc)), np.empty(len(b.doc), bool)
+        for at in range(0, len(b.doc), SLICE):  # temporary arrays of one slice only
+            x = slice(at, at + SLICE)
+            counts = b.counted(b.train, x)
+            k, p2, p1, p0 = parts_of(*counts, n, v)
+            w = lam[k]
+            p[x] = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
+            base[x] = np.log10((counts[2] + 0.5) / (n + 0.5 * (v + 1)))
+            known[x] = counts[2] > 0
         add = lambda x: np.bincount(b.doc, x, len(b.ids))
         return pa.table(
             {
-                "id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.parts == 1), "n_tokens": add(np.ones(len(c))).astype(np.int64), "n_known": add(c > 0).astype(np.int64),
+                "id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.parts == 1), "n_tokens": add(None).astype(np.int64), "n_known": add(known).astype(np.int64),
                 "train_tokens": pa.array(np.full(len(b.ids), n, np.int64)), "base_score": add(base), "score": add(p),
             }
         )
