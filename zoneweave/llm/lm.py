@@ -288,10 +288,11 @@ def interpolated_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(p)).cast("int").alias("batch"), F.col(id_col).cast("long").alias("id"), part.cast("int").alias("part"), F.col(text_col).cast("string").alias("text"))
     packed = cut_partitioned(rows.mapInArrow(*_pack()).repartition(p, "batch"))
     asked = packed.sortWithinPartitions("batch").mapInArrow(*_ask(p))
-    answers = cut(asked.repartition(p, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(*_answer()))
+    # dealt back to batches once, for both passes
+    answers = cut_partitioned(asked.repartition(p, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(*_answer()).repartition(p, "batch"))
     t = answers.where("batch = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n_est", "v_est"))).first()
     totals = tuple(int(x) for x in t)
-    counts = answers.where("batch >= 0").select("batch", "bucket", "train", "dev").repartition(p, "batch")
+    counts = answers.where("batch >= 0").select("batch", "bucket", "train", "dev")
     both = packed.groupBy("batch").cogroup(counts.groupBy("batch"))
     run, schema = _held_out(totals)
     table_ = both.applyInArrow(run, schema).groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n", "p2", "p1"))).collect()
