@@ -17,6 +17,7 @@ from ..operators import retrieval as rt
 from ..operators import rules as ru
 from ..operators import setback as sb
 from ..streaming.resume import pending
+from .constants import RESIDENTIAL
 from .views import buildings, chunks, questions, raw_parcels, table
 
 
@@ -53,6 +54,18 @@ def neighbor_pairs(spark, sf_dir) -> DataFrame:
     return nb.box_neighbors(boxed(pc.first_targets(p, None)), boxed(p.where("kind = 'lot'")))
 
 
+def visible_parcels(spark, sf_dir) -> DataFrame:
+    """Targets and the lots in their reach, each once."""
+    p = parcels(spark, sf_dir)
+    near = p.join(neighbor_pairs(spark, sf_dir).select(F.col("owner_pnu").alias("pnu")).distinct(), "pnu", "left_semi")
+    return pc.union_visible(pc.first_targets(p, None), near).select("pnu", "is_target")
+
+
+def zone_check(spark, sf_dir) -> DataFrame:
+    zones = pc.classify(raw_parcels(spark, sf_dir)).select(F.col("landuse_code").alias("zone_cd"))
+    return au.zone_check(zones, tuple(RESIDENTIAL))
+
+
 def qa_rows(spark, sf_dir) -> DataFrame:
     t = targets(spark, sf_dir)
     return nb.qa_rows(t, "qa_road20m").withColumn("kind", F.lit("road20m")).unionByName(nb.qa_rows(t, "qa_centerline").withColumn("kind", F.lit("centerline"))).select("kind", "target_pnu", "owner_pnu")
@@ -168,6 +181,7 @@ QUERIES = {
     "zone_normalize": lambda s, d: pc.classify(raw_parcels(s, d)).select("pnu", "landuse_code", "landuse", "kind"),
     "apt_join": lambda s, d: parcels(s, d).select("pnu", "build_cnt", "build_use", "apt_yn"),
     "apt_counts": lambda s, d: pc.apartment_counts(parcels(s, d)),
+    "pnu_lookup": lambda s, d: pc.by_pnu(pc.classify(raw_parcels(s, d)), "P0000000007").select("pnu", "landuse_code", "landuse", "kind"),
     "zone_histogram": lambda s, d: pc.zone_histogram(pc.classify(raw_parcels(s, d))),
     "setback_table": lambda s, d: sb.setback_table(s),
     "floor_area": lambda s, d: floors(s, d).select("scenario", "label", "pnu", "landuse_code", "lot_area_m2", "lot_area_inward_1m_m2", "floor", "height_m", "setback_m", "base_segment_count", "allowed_area_m2"),
@@ -181,9 +195,12 @@ QUERIES = {
     "floor_ranges": ranges,
     "range_totals": lambda s, d: rg.merge_totals(floors(s, d), ranges(s, d)),
     "span_histogram": lambda s, d: au.span_histogram(ranges(s, d)),
+    "type_histogram": lambda s, d: au.type_histogram(ranges(s, d)),
+    "zone_check": zone_check,
     "output_audit": lambda s, d: au.audit(ranges(s, d)),
     "area_stats": lambda s, d: au.area_stats(ranges(s, d)),
     "neighbor_pairs": neighbor_pairs,
+    "visible_parcels": visible_parcels,
     "neighbor_owner": lambda s, d: targets(s, d).select("pnu", "owner_pnu", "base", "effective_gap_m"),
     "qa_rows": qa_rows,
     "ring_area": ring_area,

@@ -113,6 +113,7 @@ ORACLES = {
     "apt_join": f"WITH {PARCELS} SELECT pnu, build_cnt, build_use, apt_yn FROM p",
     "apt_counts": f"""WITH {PARCELS} SELECT landuse_code, count(*) AS parcels, count(*) FILTER (apt_yn = 'Y') AS apt_y, count(*) FILTER (apt_yn = 'N') AS apt_n,
       round(count(*) FILTER (apt_yn = 'Y') / count(*) * 100, 4) AS apt_share FROM p GROUP BY ROLLUP (landuse_code)""",
+    "pnu_lookup": f"WITH {PARCELS} SELECT pnu, landuse_code, landuse, kind FROM p WHERE pnu = 'P0000000007'",
     "zone_histogram": f"WITH {PARCELS} SELECT landuse_code, count(*) AS lots FROM p WHERE kind = 'lot' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "setback_table": f"WITH {SETBACK} SELECT * FROM sb",
     "floor_area": f"WITH {FLOORS} SELECT scenario, label, pnu, landuse_code, lot_area_m2, lot_area_inward_1m_m2, floor, height_m, setback_m, base_segment_count, allowed_area_m2 FROM f",
@@ -130,11 +131,15 @@ ORACLES = {
     "floor_ranges": f"WITH {RANGES} SELECT * FROM r",
     "range_totals": f"WITH {RANGES} SELECT (SELECT count(*) FROM f) AS raw, (SELECT count(*) FROM r) AS records, round((1 - (SELECT count(*) FROM r) / (SELECT count(*) FROM f)) * 100, 4) AS saved_pct",
     "span_histogram": f"WITH {RANGES} SELECT floor_from, floor_to, count(*) AS records FROM r GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 8",
+    "type_histogram": f"WITH {RANGES} SELECT scenario, count(*) AS records, round(avg(floor_to - floor_from + 1), 4) AS mean_floors FROM r GROUP BY scenario",
+    "zone_check": f"WITH {PARCELS} SELECT landuse_code AS zone_cd, count(*) AS records, landuse_code IN ({_T}) AS known FROM p GROUP BY 1",
     "output_audit": f"""WITH {RANGES} SELECT count(*) AS records, count(*) FILTER (NOT (floor_from >= 1 AND floor_from <= floor_to AND floor_to <= 7)) AS bad_floors,
       count(*) FILTER (abs(h_base_m - (floor_from - 1) * 3) > 0.01) AS bad_base, count(*) FILTER (abs(h_top_m - floor_to * 3) > 0.01) AS bad_top, count(*) FILTER (area_m2 < 0) AS bad_area FROM r""",
     "area_stats": f"WITH {RANGES} SELECT min(area_m2) AS min_area, max(area_m2) AS max_area, (list(area_m2 ORDER BY area_m2))[(count(*) // 2 + 1)::INT] AS upper_median FROM r WHERE area_m2 > 0",
     "neighbor_pairs": f"""WITH {PARCELS} SELECT a.pnu AS target_pnu, o.pnu AS owner_pnu FROM p a JOIN p o ON o.kind = 'lot' AND a.pnu <> o.pnu
       AND a.x0 - 21 <= o.x0 + o.width AND o.x0 <= a.x0 + a.width + 21 AND a.y0 - 21 <= o.y0 + o.depth AND o.y0 <= a.y0 + a.depth + 21 WHERE a.kind = 'lot' AND a.landuse_code IN ({_T})""",
+    "visible_parcels": f"""WITH {PARCELS} SELECT pnu, landuse_code IN ({_T}) AS is_target FROM p o WHERE kind = 'lot' AND (landuse_code IN ({_T}) OR EXISTS (
+      SELECT 1 FROM p a WHERE a.kind = 'lot' AND a.landuse_code IN ({_T}) AND a.pnu <> o.pnu AND a.x0 - 21 <= o.x0 + o.width AND o.x0 <= a.x0 + a.width + 21 AND a.y0 - 21 <= o.y0 + o.depth AND o.y0 <= a.y0 + a.depth + 21))""",
     "neighbor_owner": f"WITH {BASE} SELECT pnu, owner_pnu, base, e AS effective_gap_m FROM t",
     "qa_rows": f"""WITH {BASE} SELECT 'road20m' AS kind, pnu AS target_pnu, o_pnu AS owner_pnu FROM t WHERE qa_road UNION ALL SELECT 'centerline', pnu, o_pnu FROM t WHERE qa_center""",
     "ring_area": f"WITH {PARCELS} SELECT pnu, round(width * depth, 6) AS area, x0 AS bx0, y0 AS by0, x0 + width AS bx1, y0 + depth AS by1, 1 AS north_edges FROM p",
