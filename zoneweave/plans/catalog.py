@@ -133,6 +133,12 @@ def embedding_cosine_topk(spark, sf_dir) -> DataFrame:
     return rt.top_k(s, "score", 5)
 
 
+def embedding_cosine_topk_all(spark, sf_dir) -> DataFrame:
+    """The same queries against the vectors of all labels, those without a label too."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return rt.vector_topk(e.where(F.pmod("id", F.lit(20)) == 0), e, 5)
+
+
 def reports(spark, sf_dir) -> DataFrame:
     """tfidf, bm25 and nine blends of both, scored once and ranked in one plan."""
     s = normalized(spark, sf_dir)
@@ -212,6 +218,7 @@ QUERIES = {
     "boosted_topk": boosted_topk,
     "dense_topk": dense_topk,
     "embedding_cosine_topk": embedding_cosine_topk,
+    "embedding_cosine_topk_all": embedding_cosine_topk_all,
     "retrieval_metrics": lambda s, d: reports(s, d).drop("ord"),
     "mode_selection": mode_selection,
     "sliding_chunks": lambda s, d: ch.sliding_chunks(table(s, d, "documents"), "doc_id"),
