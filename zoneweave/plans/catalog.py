@@ -139,19 +139,33 @@ def embedding_cosine_topk_all(spark, sf_dir) -> DataFrame:
     return rt.vector_topk(e.where(F.pmod("id", F.lit(20)) == 0), e, 5)
 
 
-def reports(spark, sf_dir) -> DataFrame:
-    """tfidf, bm25 and nine blends of both, scored once and ranked in one plan."""
-    s = normalized(spark, sf_dir)
-    modes = spark.sql("SELECT 'tfidf' AS mode, 0 AS ord, 0.5D AS alpha UNION ALL SELECT 'bm25', 1, 0.5D UNION ALL SELECT 'hybrid_tfidf_bm25', 2, id / 10 FROM range(1, 10)")
-    score = F.when(F.col("ord") == 0, F.col("tfidf")).when(F.col("ord") == 1, F.col("bm25")).otherwise(rt.blend("tfidf", "bm25", F.col("alpha")))
-    top = rt.top_k(s.crossJoin(F.broadcast(modes)).withColumn("mixed", score), "mixed", 5, ("mode", "ord", "alpha", "item_id"))
+#: Modes that the SQL of retrieval_metrics and mode_selection states, and all that the reference sweeps; in order of ties.
+LEXICAL_MODES = ("tfidf", "bm25", "hybrid_tfidf_bm25")
+ALL_MODES = (*rt.SINGLE, *rt.PAIRS)
+
+
+def with_dense(spark, sf_dir) -> DataFrame:
+    """All three scores and their normalised forms of every chunk."""
+    index, q, s = lexical(spark, sf_dir)
+    d = rt.Dense(index).scores(q)
+    s = rt.every_chunk(index, q, s).join(d, ["item_id", "chunk_id"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0)))
+    return rt.normalize_all(s, list(rt.SINGLE))
+
+
+def reports(spark, sf_dir, modes: tuple[str, ...] = LEXICAL_MODES) -> DataFrame:
+    """The modes, pairs as nine blends each, scored once and ranked in one plan."""
+    s = with_dense(spark, sf_dir) if any("dense" in m for m in modes) else normalized(spark, sf_dir)
+    rows = [(m, i, a) for i, m in enumerate(modes) for a in ([0.5] if m in rt.SINGLE else [x / 10 for x in range(1, 10)])]
+    grid = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{m}', {i}, {a}D)" for m, i, a in rows) + " AS t(mode, ord, alpha)")
+    score = F.coalesce(*[F.when(F.col("mode") == m, F.col(m) if m in rt.SINGLE else rt.blend(*rt.PAIRS[m], F.col("alpha"))) for m in modes])
+    top = rt.top_k(s.crossJoin(F.broadcast(grid)).withColumn("mixed", score), "mixed", 5, ("mode", "ord", "alpha", "item_id"))
     results = top.join(chunks(spark, sf_dir), "chunk_id")
     m = ev.question_metrics(questions(spark, sf_dir), results, by=("mode", "ord", "alpha"))
     return ev.macro(m, ("mode", "ord", "alpha"))
 
 
-def mode_selection(spark, sf_dir) -> DataFrame:
-    return ev.select_mode(reports(spark, sf_dir)).select("mode", "alpha", "recall_at_k", "precision_at_k", "mrr", "readiness_accuracy")
+def mode_selection(spark, sf_dir, modes: tuple[str, ...] = LEXICAL_MODES) -> DataFrame:
+    return ev.select_mode(reports(spark, sf_dir, modes)).select("mode", "alpha", "recall_at_k", "precision_at_k", "mrr", "readiness_accuracy")
 
 
 def dense_topk(spark, sf_dir) -> DataFrame:
@@ -221,6 +235,8 @@ QUERIES = {
     "embedding_cosine_topk_all": embedding_cosine_topk_all,
     "retrieval_metrics": lambda s, d: reports(s, d).drop("ord"),
     "mode_selection": mode_selection,
+    "retrieval_metrics_all": lambda s, d: reports(s, d, ALL_MODES).drop("ord"),
+    "mode_selection_all": lambda s, d: mode_selection(s, d, ALL_MODES),
     "sliding_chunks": lambda s, d: ch.sliding_chunks(table(s, d, "documents"), "doc_id"),
     "article_chunks": article_chunks,
     "chunk_stats": lambda s, d: ch.chunk_stats(article_chunks(s, d)),
