@@ -425,6 +425,18 @@ def test_tiff_pages(spark, docs, none):
     assert tiff.tiff_pages(tiff.store_texts(none), "media", ["doc_id"]).count() == 0
 
 
+def test_tiff_pages_after_an_unreadable_one(spark):
+    import struct
+
+    good = big_endian_two_pages()
+    entry = lambda tag, kind, v: struct.pack(">HHI", tag, kind, 1) + (struct.pack(">HH", v, 0) if kind == 3 else struct.pack(">I", v))
+    mask = good.replace(entry(258, 3, 16), entry(258, 3, 1), 1)
+    lost = good.replace(entry(273, 4, 8), struct.pack(">HHII", 273, 4, 9, 1 << 30), 1)
+    files = spark.createDataFrame([(1, mask), (2, lost)], "k int, media binary")
+    got = sorted((r.k, r.page, r.error is not None, r.height) for r in tiff.tiff_pages(files, "media", ["k"]).collect())
+    assert got == [(1, 0, True, None), (1, 1, False, 1), (2, 0, True, None), (2, 1, False, 1)]
+
+
 # ---- 8 vectors
 
 

@@ -197,7 +197,10 @@ def directories(data: bytes):
                 continue
             size = struct.calcsize(order + FIELD[ft]) * count
             where = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-            tags[tag] = struct.unpack_from(f"{order}{count}{FIELD[ft]}", data, where)
+            try:
+                tags[tag] = struct.unpack_from(f"{order}{count}{FIELD[ft]}", data, where)
+            except struct.error:  # values outside the file: an error of the page that needs them, not of the chain
+                tags[tag] = ()
         yield order, tags
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
@@ -238,14 +241,18 @@ def _pages(media: str, keep: list[str], schema: pa.Schema):
     def rows_of(data: bytes | None):
         if data is None:
             return [(None,) * 10 + ("null",)]
-        out = []
+        out, bad = [], (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError)
+        fail = lambda e: out.append((len(out), *(None,) * 9, f"{type(e).__name__}: {e}"[:200]))
         try:
             for i, (order, tags) in enumerate(directories(data)):
-                x, how = read_page(data, order, tags)
-                out.append((i, x.shape[1], x.shape[0], x.shape[2], how["bits"], how["compression"], how["predictor"], how["layout"], how["segments"], x.tobytes(), None))
-            return out or [(None,) * 10 + ("no page",)]
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError) as e:
-            return [*out, (len(out), *(None,) * 9, f"{type(e).__name__}: {e}"[:200])]
+                try:
+                    x, how = read_page(data, order, tags)
+                    out.append((i, x.shape[1], x.shape[0], x.shape[2], how["bits"], how["compression"], how["predictor"], how["layout"], how["segments"], x.tobytes(), None))
+                except bad as e:  # this page only; the next directory is found without it
+                    fail(e)
+        except bad as e:
+            fail(e)
+        return out or [(None,) * 10 + ("no page",)]
 
     def run(batches):
         for b in batches:
@@ -267,8 +274,8 @@ def tiff_pages(files: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
     samples, bits, compression, predictor, layout, segments, pixels (row by row, native byte order), error.
 
     Both byte orders; 8- and 16-bit samples; raw, PackBits, LZW and deflate; strips and tiles; chunky and
-    planar; predictor 2. Null, damaged or unsupported files give the pages read so far and one row with
-    error set, so no file fails a job. Rows stream in batches bounded by bytes, without a shuffle; each file
+    planar; predictor 2. A page that is damaged or unsupported gives a row with error set and the next pages
+    follow; where the directories themselves end in damage, one such row is the last. So no file fails a job. Rows stream in batches bounded by bytes, without a shuffle; each file
     is decoded alone. Repeated rows repeat; an empty table gives an empty result. keep columns named like
     an output column raise, other columns are not read.
     """
