@@ -119,11 +119,51 @@ def test_large_group_is_blocked(spark):
     assert set(got.values()) == {(599, 0)}
 
 
-def test_forest_depth():
-    assert ngram_join.forest_depth(0.8) == 8 and ngram_join.forest_depth(0.8, trees=10) < 8
-    for trees in (5, 10, 40):
-        d = ngram_join.forest_depth(0.8, trees)
-        assert d == 1 or 1 - (1 - 0.8**d) ** trees >= ngram_join.RECALL
+@pytest.mark.parametrize("threshold", [0.6, 0.7, 0.8])
+def test_ngram_join_finds_planted_near_copies(spark, threshold):
+    """All links of brute force: the target recall is 0.999, so none of these is missed."""
+    rng = random.Random(11)
+    rows = []
+    for c in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 12, 40, 150, 600]))]
+        for i in range(5):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(5000)}"
+            rows.append((c * 5 + i, " ".join(w[: len(w) - rng.randrange(2)])))
+    got = by_id(ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold), "n_links", "component_id", "kept")
+    assert got == brute_join(rows, threshold) and sum(n for n, _, _ in got.values()) > 60
+
+
+def test_prefixes_shorten_until_the_recall_is_met():
+    rng = np.random.default_rng(6)
+    for n in (5, 30, 200, 5000):
+        x = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        depths = [(f := ngram_join.Forest(t)).prefix(f.signature(x), n) for t in (0.3, 0.5, 0.7, 0.8, 0.95)]
+        assert depths == sorted(depths) and depths[0] >= 1 and depths[-1] <= ngram_join.DEPTH
+    forest = ngram_join.Forest(0.8)
+    d = forest.prefix(forest.signature(x), n)  # all values distinct: the closed form
+    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
+    assert forest.prefix(forest.signature(x[:3]), 3) == ngram_join.DEPTH  # no other set reaches 0.8
+
+
+def test_trie_links_join_what_a_plain_comparison_joins():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        labels = rng.integers(0, 2, (60, ngram_join.DEPTH)).astype(np.uint16)
+        entries = np.zeros((60, ngram_join.ENTRY), np.uint8)
+        entries[:, 2::2] = labels
+        order = np.lexsort(labels.T[::-1])
+        entries, depth = entries[order], rng.choice([4, 6, 10], 60)
+        u, v = ngram_join.trie_links(entries, np.arange(60), depth)
+        lab = np.arange(60)
+        for _ in range(60):
+            for a, b in zip(u, v, strict=True):
+                lab[a] = lab[b] = min(lab[a], lab[b])
+        for i, j in itertools.combinations(range(60), 2):
+            common_ = (np.append(entries[i, 2::2] != entries[j, 2::2], True)).argmax()
+            if common_ >= min(depth[i], depth[j]):
+                assert lab[i] == lab[j]
 
 
 def test_components(spark):
@@ -355,14 +395,64 @@ def test_toxicity_without_labels(spark, docs):
     assert got[9][0] > 0.7 > got[1][0]
 
 
-def test_label_model_shares_the_say_of_copies():
-    rng = np.random.default_rng(0)
-    y = rng.random(800) < 0.3
-    good = np.where(rng.random(800) < 0.9, y, ~y)
-    bad = np.where(rng.random(800) < 0.6, y, ~y)
-    votes = np.stack([good, bad, bad, bad, bad], axis=1).astype(float)
-    post = toxicity.label_model(votes, y.astype(int))
-    assert ((post > 0.5) == y).mean() > 0.9
+def weak_votes(seed=0, n=3000):
+    """Two kinds of label 1, each with its own voters, copies of a voter among them, and one that knows nothing."""
+    rng = np.random.default_rng(seed)
+    kind = rng.choice(3, n, p=[0.8, 0.12, 0.08])
+    votes = np.stack([rng.random(n) < np.where(kind == 1 + j % 2, 0.45, 0.02) for j in range(10)], axis=1)
+    return kind > 0, np.concatenate([votes, votes[:, :1], votes[:, :1], rng.random((n, 1)) < 0.3], axis=1).astype(float)
+
+
+def test_label_model_finds_accuracies_without_labels():
+    y, votes = weak_votes()
+    typed = np.ones(votes.shape[1], bool)
+    typed[-1] = False
+    post, rate = toxicity.label_model(votes, y.mean(), typed)
+    like = lambda k: np.prod([np.where(votes[:, j] == 1, r := 0.45 if k == 1 + j % 2 else 0.02, 1 - r) for j in range(10)], axis=0)
+    best = 0.12 * like(1) + 0.08 * like(2) > 0.8 * like(0)  # the true rates' own guess
+    assert ((post > 0.5) == y).mean() > (best == y).mean() - 0.02
+    assert len(rate) == 3 and (np.abs(np.sort(rate[1:, :10], axis=0)[1] - 0.45) < 0.12).all() and (rate[0, :10] < 0.05).all()
+    assert np.ptp(rate[:, -1]) < 0.12  # a voter that knows nothing says nothing
+
+
+def test_label_model_against_plain_em():
+    """Uncorrelated voters of one kind: the two-class EM, written out row by row."""
+    rng = np.random.default_rng(2)
+    y = rng.random(400) < 0.4
+    votes = (rng.random((400, 6)) < np.where(y[:, None], 0.7, 0.1)).astype(float)
+    got, rate = toxicity.label_model(votes, 0.4, np.ones(6, bool), rounds=60)
+    post = np.where(votes.any(axis=1), 0.7, 0.1)
+    for _ in range(300):
+        on, off = [(votes.T @ w + 0.1) / (w.sum() + 1) for w in (post, 1 - post)]
+        for i in range(400):
+            a, b = 0.4, 0.6
+            for j in range(6):
+                a *= on[j] if votes[i, j] else 1 - on[j]
+                b *= off[j] if votes[i, j] else 1 - off[j]
+            post[i] = a / (a + b)
+    assert ((got > 0.5) == (post > 0.5)).mean() > 0.98 and ((got > 0.5) == y).mean() > 0.85
+
+
+def test_whole_texts_vote():
+    for n in (4095, 4096, 100_000):
+        assert toxicity.shouts("A" * n) and not toxicity.shouts("a" * n + "A")
+    assert toxicity.shouts("a" * 5000 + "B" * 5001) and not toxicity.shouts("123")
+
+
+def test_copies_are_left_out_whatever_their_number():
+    rng = np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 1 << 60, 300)) for _ in range(40)]
+    rows = [base[i % 40] if i < 200 else np.unique(np.append(base[i % 40][20:], rng.integers(0, 1 << 60, 20))) for i in range(400)]
+    keep = toxicity.apart(np.stack([toxicity.sketch(x) for x in rows]))
+    assert keep.tolist() == list(range(40))
+
+
+def test_repeated_ids_and_long_texts_train(spark):
+    rows = [(i, "calm words of a text " + str(i)) for i in range(40)] + [(100 + i, f"you idiot {i} " + "tok " * 20_000) for i in range(3)] * 5
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(3)] * 2, "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score_toxicity(df, toxicity.train_toxicity(df, labels)).collect()
+    assert len(got) == len(rows)
 
 
 # ---- 7 TIFF
@@ -515,6 +605,46 @@ def test_bpe_pieces(encoding):
     assert bpe.encode_pieces(pieces, pairs) == [enc._core_bpe.encode_single_piece(p) for p in pieces]
 
 
+@pytest.mark.parametrize("size", [20, 100, 150, 400])
+def test_bpe_on_random_ranks(size):
+    """Any rank table, short and long pieces: plain leftmost-minimum merging, written out."""
+    rng = random.Random(size)
+    for _ in range(12):
+        pool = [b"a", b"b", b"c"]
+        while len(pool) < 40:
+            t = rng.choice(pool) + rng.choice(pool)
+            pool += [t] * (t not in pool and len(t) < 16)
+        rng.shuffle(pool)
+        ranks = {t: i for i, t in enumerate(pool)}
+        pieces, want = [bytes(rng.choices(b"abc", k=size)) for _ in range(10)], []
+        for p in pieces:
+            parts = [p[i : i + 1] for i in range(len(p))]
+            while True:
+                r, at = min(((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 30, 0))
+                if r == 1 << 30:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            want.append([ranks[x] for x in parts])
+        assert bpe.encode_pieces(pieces, bpe.PairTable(ranks)) == want
+
+
+def test_bpe_of_a_megabyte(encoding):
+    import time
+
+    pairs, began = bpe.PairTable(bpe.load_ranks(encoding[1])), time.time()
+    piece = b"x" * 1_000_000
+    assert encoding[0]._core_bpe.encode_single_piece(piece[:100_000]) == bpe.encode_pieces([piece[:100_000]], pairs)[0]
+    assert bpe.decode(bpe.encode_pieces([piece], pairs)[0], pairs.bytes) == piece and time.time() - began < 30
+
+
+def test_bpe_on_documents(spark, encoding):
+    texts = {r.doc_id: r.text for r in real(spark, "documents").collect()}
+    for r in bpe.op9(spark, SF).collect():
+        ids = encoding[0].encode_ordinary(texts[r.doc_id] or "")
+        digest = lambda b: hashlib.sha256(b).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(",".join(map(str, ids)).encode()), digest((texts[r.doc_id] or "").encode()))
+
+
 # ---- pipeline
 
 

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 
 from .common import bound_batches, mix64, table, texts_of
 
-#: Pieces kept between batches, at most; a bound on a worker's memory, never on results.
-CACHE = 200_000
-#: A row longer than this merges all clear occurrences of its least pair in a round.
-LONG = 128
+#: Pieces kept between batches, at most, and bytes of the longest one kept; bounds on a worker's memory, never on results.
+CACHE, CACHED = 200_000, 64
+#: From this width on a row is a matrix of its own, which merges all sure occurrences of its least pair in a round.
+WIDE = 128
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -106,31 +106,38 @@ def merge_rows(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
     return out
 
 
-def merge_long(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
-    """One long row: all occurrences of the least pair in a round, from the left, without overlap.
+def merge_wide(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """merge_rows() of one wide row, with as many of its next merges in a round as are sure to be the next.
 
-    That equals merging them one by one as long as no merge makes a pair of a lower or equal rank;
-    where one does, the round merges the leftmost occurrence alone.
+    With r the least rank, the plain way merges the leftmost pair of rank r, then the leftmost one again. Until a merge
+    makes a pair of rank r or less, these are the pairs of rank r from the left, without overlap: all others rank above r
+    and stay as they are. So a round takes them up to and with the first whose merge makes such a pair, as seen at
+    that moment: left of it stands what earlier merges left there, right of it what is not merged yet. Ranks of
+    changed pairs alone are looked up again.
     """
-    while len(ids) > 1:
-        rank = pairs.rank(ids[:-1], ids[1:])
+    ids = ids.astype(np.int32)
+    rank = pairs.rank(ids[:-1].astype(np.int64), ids[1:].astype(np.int64))
+    while len(rank):
         best = rank.min()
         if best >= pairs.NONE:
             break
         at = np.flatnonzero(rank == best)
         run = np.concatenate([[0], np.cumsum(np.diff(at) > 1)])
         at = at[(at - at[np.searchsorted(run, run)]) % 2 == 0]
-        for take in (at, at[:1]):
-            new = ids.copy()
-            new[take] = best
-            new = np.delete(new, take + 1)
-            if len(take) == 1:
-                break
-            pos = take - np.arange(len(take))
-            near = np.concatenate([pos[pos > 0] - 1, pos[pos < len(new) - 1]])
-            if not len(near) or pairs.rank(new[near], new[near + 1]).min() > best:
-                break
-        ids = new
+        left = np.where(at > 0, ids[np.maximum(at - 1, 0)], -1).astype(np.int64)
+        left[1:][at[1:] == at[:-1] + 2] = best
+        right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1).astype(np.int64)
+        merged = np.full(len(at), best, np.int64)
+        early = np.flatnonzero(np.minimum(pairs.rank(left, merged), pairs.rank(merged, right)) <= best)
+        if len(early):
+            at = at[: early[0] + 1]
+        ids[at] = best
+        ids = np.delete(ids, at + 1)
+        rank = np.delete(rank, np.minimum(at + 1, len(rank) - 1))
+        pos = at - np.arange(len(at))
+        near = np.unique(np.concatenate([pos[pos > 0] - 1, pos[pos < len(ids) - 1]]))
+        rank = rank[: max(len(ids) - 1, 0)]
+        rank[near] = pairs.rank(ids[near].astype(np.int64), ids[near + 1].astype(np.int64))
     return ids
 
 
@@ -145,9 +152,9 @@ def encode_pieces(pieces: list[bytes], pairs: PairTable) -> list[list[int]]:
         else:
             by.setdefault(max(3, (len(p) - 1).bit_length()), []).append(i)
     for bits, at in by.items():
-        if 1 << bits > LONG:
+        if 1 << bits > WIDE:
             for i in at:
-                out[i] = merge_long(pairs.byte_id[np.frombuffer(pieces[i], np.uint8)], pairs).tolist()
+                out[i] = merge_wide(pairs.byte_id[np.frombuffer(pieces[i], np.uint8)], pairs).tolist()
             continue
         step = max(1, (1 << 19) >> bits)
         for s in range(0, len(at), step):
@@ -187,6 +194,7 @@ def _encode(id_cols: list[str], text_col: str, ranks: bytes, pattern: str, diges
                 part = new[s : s + 50_000]
                 for p, ids in zip(part, encode_pieces([p.encode("utf-8", "surrogatepass") for p in part], pairs), strict=True):
                     cache[p] = (",".join(map(str, ids)), len(ids), decode(ids, vocab)) if digest else ids
+            wide = [p for p in new if len(p) > CACHED]
             cols = [b.column(c) for c in id_cols]
             if digest:
                 got = [[cache[p] for p in f] for f in found]
@@ -202,6 +210,8 @@ def _encode(id_cols: list[str], text_col: str, ranks: bytes, pattern: str, diges
             else:
                 ids = [[i for p in f for i in cache[p]] for f in found]
                 yield pa.record_batch([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array([decode(i, vocab) for i in ids], pa.binary())], names=[*id_cols, "ids", "decoded"])
+            for p in wide:
+                del cache[p]
 
     return run
 
@@ -222,10 +232,12 @@ def bpe_encode(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str], tex
 
     Distinct pieces of a batch that are not in the worker's bounded cache fill padded numpy matrices
     bucketed by length; each round every row merges its leftmost minimum-rank pair, found by one
-    hashed lookup of the changed pairs, and finished rows and columns are compacted away. Pieces over
-    128 bytes merge all occurrences of the least pair a round where that is the same. No shuffle.
+    hashed lookup of the changed pairs, and finished rows and columns are compacted away. A piece over
+    128 bytes is a matrix of one row and takes all its sure next merges in a round (merge_wide), which
+    gives what one merge a round gives. No shuffle.
 
-    Null and empty texts: no tokens, hash of nothing. Very long texts: split into pieces like others.
+    Null and empty texts: no tokens, hash of nothing. Very long texts: split into pieces like others; a piece of n
+    bytes takes time in proportion to n times the distinct ranks that it merges, whatever its repeats.
     Repeated rows, ties and null ids pass through row by row; an empty table gives an empty result.
     Columns outside keep are not read, so they cannot clash.
     """

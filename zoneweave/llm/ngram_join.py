@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: MinHash LSH forest for candidates, exact verification in blocks."""
+"""N-gram Jaccard join: sorted prefix tries of MinHash signatures for candidates, exact verification in blocks."""
 
 from __future__ import annotations
 
@@ -9,25 +9,16 @@ from pyspark.sql import functions as F
 
 from .common import SpanHasher, bound_batches, components, cut, grouped, hash_spans, mix64, table, texts_of
 
-#: Tries in the forest, longest prefix of a trie, wanted recall of links at the threshold.
-TREES, DEPTH, RECALL = 40, 8, 0.999
+#: Tries in the forest, values of a whole label, wanted recall of links at the threshold, draws that try a label's depth.
+TREES, DEPTH, RECALL, DRAWS = 40, 10, 0.999, 64
+#: Bytes of an entry: its tree, then two bytes of each value.
+ENTRY = 1 + 2 * DEPTH
+#: Sorted entries that a task looks at together.
+WINDOW = 1 << 16
 #: Documents and characters of one side of a verified block.
 BLOCK_DOCS, BLOCK_CHARS = 256, 4 << 20
 
 
-def forest_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix whose expected recall for a pair exactly at the threshold meets the target.
-
-    A trie node at depth d holds a pair of similarity s with probability s**d, so the forest meets
-    it with 1 - (1 - s**d)**trees. Matching starts from whole signatures and shortens the prefix
-    step by step; a pair at the threshold is the worst case of all links.
-    """
-    d = depth
-    while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
-        d -= 1
-    return d
-
-
 def shingles(text: str, k: int, hasher: SpanHasher) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a text; a shorter text is one shingle."""
     buf = np.frombuffer(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), np.uint8)
@@ -41,18 +32,17 @@ def shingles(text: str, k: int, hasher: SpanHasher) -> np.ndarray:
 
 
 class Forest:
-    """Prefix keys of a shingle set: one-permutation MinHash with densification, then one trie node a tree."""
+    """Labels of a shingle set, one a tree: one-permutation MinHash with densification; and how deep they must match."""
 
-    def __init__(self, trees: int, depth: int, matched: int, seed: int = 29):
+    def __init__(self, threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, seed: int = 29):
         rng = np.random.default_rng(seed)
-        self.k, self.trees, self.depth, self.matched = trees * depth, trees, depth, matched
+        self.k, self.trees, self.depth, self.threshold, self.recall = trees * depth, trees, depth, threshold, recall
         self.edges = np.array([(i << 64) // self.k for i in range(self.k)], dtype=np.uint64)
         self.donors = rng.integers(0, self.k, (64, self.k))
-        self.coef = rng.integers(1, 1 << 62, matched, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.seeds = rng.integers(1, 1 << 62, trees, dtype=np.uint64)
+        self.odd = rng.integers(1, 1 << 62, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def signature(self, x: np.ndarray) -> np.ndarray:
-        """The least hash of each of k equal ranges; an empty range borrows from seeded donors, alike for all sets."""
+        """The least hash of each of k equal ranges, (trees, depth); an empty range borrows from seeded donors, alike for all sets."""
         at = np.searchsorted(x, self.edges)
         v = x[np.minimum(at, len(x) - 1)]
         full = np.append(at[1:], len(x)) > at
@@ -67,11 +57,41 @@ class Forest:
         if len(missing):  # very short texts: the next full range, cyclically
             where = np.flatnonzero(own)
             v[missing] = v[where[np.searchsorted(where, missing) % len(where)]]
-        return v
-
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        v = self.signature(x).reshape(self.trees, self.depth)[:, : self.matched]
-        return mix64((mix64(v) * self.coef).sum(axis=1, dtype=np.uint64) + self.seeds)
+        return v.reshape(self.trees, self.depth)
+
+    def prefix(self, v: np.ndarray, n: int) -> int:
+        """How long a prefix of this set's labels must match: whole labels first, shortened until the target recall is met.
+
+        A partner at the threshold t keeps a share t of the set's values, and a tree finds it when all values of the prefix are
+        kept. Labels of d values, u of them distinct, meet with t**u; all trees together must reach the recall. Where
+        values stand in several trees (short texts) the trees do not vary freely: then, besides, in each of DRAWS drawn
+        partners with exactly that share at least one tree must find it. A set that no other set can match at t keeps whole labels.
+        """
+        if n / (n + 1) < self.threshold:
+            return self.depth
+        new = np.ones(v.shape, bool)
+        for j in range(1, self.depth):
+            new[:, j] = (v[:, :j] != v[:, j, None]).all(axis=1)
+        meets = self.threshold ** np.cumsum(new, axis=1)
+        deep = np.flatnonzero(1 - np.prod(1 - meets, axis=0) >= self.recall)
+        d = int(deep[-1]) + 1 if len(deep) else 1
+        values, at = np.unique(v, return_inverse=True)
+        if d > 1 and len(values) < self.k:
+            drawn = values[:, None] * self.odd
+            keep = max(1, int(np.ceil(self.threshold * len(values))))
+            kept = drawn <= np.partition(drawn, keep - 1, axis=0)[keep - 1]
+            whole = np.logical_and.accumulate(kept[at.reshape(v.shape)][:, :d], axis=1).any(axis=0).all(axis=1)
+            deep = np.flatnonzero(whole)
+            d = int(deep[-1]) + 1 if len(deep) else 1
+        return d
+
+    def entries(self, v: np.ndarray) -> bytes:
+        """All labels as entries that sort as the tries do: the tree's number, then 16 bits of each value, high byte first."""
+        out = np.empty((self.trees, 1 + 2 * self.depth), np.uint8)
+        out[:, 0] = np.arange(self.trees)
+        short = (mix64(v) >> np.uint64(48)).astype(np.uint16)
+        out[:, 1::2], out[:, 2::2] = short >> 8, short & 255
+        return out.tobytes()
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -83,23 +103,107 @@ def set_hash(x: np.ndarray) -> int:
 
 
 def _sign(id_col: str, text_col: str, k: int, threshold: float):
-    schema = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("chars", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("chars", pa.int64()), ("depth", pa.int32()), ("entries", pa.binary())])
 
     def run(batches):
-        hasher, forest = SpanHasher(), Forest(TREES, DEPTH, forest_depth(threshold))
+        hasher, forest = SpanHasher(), Forest(threshold)
         for b in batches:
             rows = []
             for i, t in zip(b.column(id_col).to_pylist(), texts_of(b, text_col), strict=True):
                 x = shingles(t, k, hasher)
                 if len(x):
+                    v = forest.signature(x)
                     h1, h2 = set_hash(x), set_hash(x ^ np.uint64(0x9E3779B97F4A7C15))
-                    rows.append((i, h1, h2, len(x), len(t), _signed(forest.keys(x))))
+                    rows.append((i, h1, h2, len(x), len(t), forest.prefix(v, len(x)), forest.entries(v)))
                 else:
-                    rows.append((i, 0, 0, 0, len(t), np.zeros(0, np.int64)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+                    rows.append((i, 0, 0, 0, len(t), DEPTH, b""))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return run, "id long, h1 long, h2 long, n long, chars long, keys array<long>"
+    return run, "id long, h1 long, h2 long, n long, chars long, depth int, entries binary"
+
+
+def shared(entries: np.ndarray) -> np.ndarray:
+    """How many values each entry shares with the one before it, from the front; -1 in another tree. Rows of ENTRY bytes."""
+    same = entries[1:] == entries[:-1]
+    pairs = same[:, 1::2] & same[:, 2::2]
+    return np.where(same[:, 0], np.logical_and.accumulate(pairs, axis=1).sum(axis=1), -1)
+
+
+def trie_links(entries: np.ndarray, ids: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, least id of the node) among sorted entries. A node of prefix length d links all its members if one of them
+    needs no more than d shared values; so it does if it reaches the first or last entry, beyond which others may need it."""
+    run, done = shared(entries), np.zeros(len(ids), bool)
+    out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    for d in np.unique(depth):  # shortest first: a node holds all nodes below it
+        cut_at = np.concatenate([[0], np.flatnonzero(run < d) + 1])
+        size = np.diff(np.append(cut_at, len(ids)))
+        wanted = np.logical_or.reduceat(depth == d, cut_at)
+        wanted[[0, -1]] = True
+        wanted &= size > 1
+        if wanted.any():
+            lead = np.repeat(np.minimum.reduceat(ids, cut_at), size)
+            at = np.flatnonzero(np.repeat(wanted, size) & ~done & (ids != lead))
+            out.append(np.stack([ids[at], lead[at]], axis=1))
+            done |= np.repeat(wanted, size)
+    out = np.concatenate(out)
+    return out[:, 0], out[:, 1]
+
+
+def _walk(batches):
+    """Links of the nodes in a range of the sorted tries, and its first and last entry, window by window."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("part", pa.int32()), ("entry", pa.binary())])
+    held: list = []
+
+    def look(final: bool):
+        nonlocal held
+        e, i, d = (np.concatenate(c) for c in zip(*held, strict=True))
+        held = [] if final else [(e[-1:], i[-1:], d[-1:])]
+        u, v = trie_links(e, i, d)
+        nothing = pa.nulls(len(u))
+        return pa.record_batch([pa.array(u), pa.array(v), nothing.cast(pa.int32()), nothing.cast(pa.binary())], schema=schema)
+
+    first = last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        entries = np.frombuffer(b"".join(b.column("entry").to_pylist()), np.uint8).reshape(-1, ENTRY)
+        ids, part = b.column("id").to_numpy(), b.column("part")[0].as_py()
+        first = first or (int(ids[0]), part, entries[0].tobytes())
+        last = (int(ids[-1]), part, entries[-1].tobytes())
+        held.append((entries, ids, b.column("depth").to_numpy()))
+        if sum(len(h[1]) for h in held) >= WINDOW:
+            yield look(False)
+    if first:
+        yield look(True)
+        ends = zip(first, last, strict=True)
+        ids, parts, entries = ends
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([0, 1], pa.int64()), pa.array(parts, pa.int32()), pa.array(entries, pa.binary())], schema=schema)
+
+
+def trie_candidates(reps: DataFrame) -> DataFrame:
+    """Candidate links (u, v) of rows (id, depth, entries): the tries of all trees as one globally sorted table of entries.
+
+    Entries are sorted by range, with the id as the last key, so a node that a third of all texts share spreads over many tasks. In
+    sorted order the members of a trie node are neighbours, and one pass finds for each entry the longest prefix that it
+    shares with others. Only the two ends of each task's range meet on the driver, to link nodes across a border: two entries a
+    partition, whatever the data.
+    """
+    spark = reps.sparkSession
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda i: F.substring(F.col("entries"), i * ENTRY + 1, F.lit(ENTRY))))
+    rows = reps.select("id", "depth", each.alias("entry"))
+    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(p, "entry", "id").sortWithinPartitions("entry", "id").withColumn("part", F.spark_partition_id())
+    found = cut(rows.mapInArrow(_walk, "u long, v long, part int, entry binary"))
+    ends = sorted(found.where("entry is not null").select("part", "v", "u", "entry").collect())
+    least = reps.agg(F.min("depth")).first()[0]
+    links = []
+    for (_, e, a, x), (_, f, b, y) in zip(ends[1::2], ends[2::2], strict=False):
+        run = shared(np.frombuffer(bytes(x) + bytes(y), np.uint8).reshape(2, ENTRY))[0]
+        if run >= least and a != b:
+            links.append((a, b))
+    edges = found.where("entry is null").select("u", "v")
+    return edges.unionByName(spark.createDataFrame(links, "u long, v long")) if links else edges
 
 
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -174,8 +278,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links) and kept (doc_id = component_id). Column names follow id_col.
 
     1. Documents with equal shingle sets become one class by a map-side combined aggregate.
-    2. A class representative gets one node key for each prefix trie of an LSH forest. All members of a
-       node link as candidates to its smallest id only (a star), never pair by pair.
+    2. A class representative enters TREES prefix tries of MinHash labels, kept as one sorted table (trie_candidates). It is
+       matched by whole labels first; the prefix is shortened, text by text, until its expected recall at the
+       threshold is RECALL (Forest.prefix). Members of a node link to its smallest id (a star), never pair by pair.
     3. Connected candidates form a cell. Its members are dealt to blocks of bounded size and each pair of
        blocks is one task unit, which counts exact intersections with matrix products and returns
        one row a member: its verified links there and its root. No pair is emitted, none is dropped.
@@ -194,11 +299,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sig = cut(base.mapInArrow(run, schema))
     rows = sig.select("id", "h1", "h2", "n").groupBy("id").agg(F.min(F.struct("h1", "h2", "n")).alias("c")).select("id", "c.*")
     classes = rows.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    reps = sig.where("n > 0").join(classes, ["h1", "h2", "n"]).where("id = class_id").select("id", "copies", "chars", "h1", "keys").dropDuplicates(["id"])
+    reps = sig.where("n > 0").join(classes, ["h1", "h2", "n"]).where("id = class_id").select("id", "copies", "chars", "h1", "depth", "entries").dropDuplicates(["id"])
     reps = cut(reps)
-    nodes = reps.select("id", F.explode("keys").alias("node"))
-    stars = nodes.groupBy("node").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("node", "lead")
-    cells = components(nodes.join(stars, "node").where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")))
+    cells = components(trie_candidates(reps))
     members = cut(cells.join(reps.select("id", "copies", "chars", "h1"), "id"))
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("chars") / F.lit(BLOCK_CHARS))).cast("int").alias("blocks"))
     dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
