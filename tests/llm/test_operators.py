@@ -592,8 +592,8 @@ def test_tiff_pages(spark, docs, none):
     assert all(any(k == x and bad for k, _, bad, _ in got) for x in (2, 3, 4, 5, 6))
     px = tiff.tiff_pages(files.where("k = 1"), "media", ["k"]).where("page = 1").first()
     assert np.frombuffer(px.pixels, np.uint16).tolist() == [500, 600]
-    with pytest.raises(ValueError):
-        tiff.tiff_pages(files.withColumnRenamed("k", "page"), "media", ["page"])
+    clash = tiff.tiff_pages(files.withColumnRenamed("k", "page"), "media", ["page"])
+    assert clash.columns[:2] == ["kept_page", "page"] and clash.where("kept_page = 1 and page = 1").count() == 2
     pages = tiff.tiff_pages(tiff.store_texts(docs), "media", ["doc_id", "n_bytes"]).collect()
     for (i, t, *_), r in zip(DOCS, pages, strict=True):
         raw = (t or "").encode()
@@ -613,6 +613,79 @@ def test_tiff_pages_after_an_unreadable_one(spark):
     assert got == [(1, 0, True, None), (1, 1, False, 1), (2, 0, True, None), (2, 1, False, 1)]
 
 
+def plain_lzw(data):
+    """Code by code, as the format's specification has it."""
+    bits, at, width, book, old, out = "".join(f"{b:08b}" for b in data), 0, 9, {}, None, b""
+    while True:
+        code, at = int(bits[at : at + width], 2), at + width
+        if code == 257:
+            return out
+        if code == 256:
+            book, width, old = {i: bytes([i]) for i in range(256)}, 9, None
+            continue
+        if old is not None:
+            book[258 + len(book) - 256] = old + (book[code] if code in book else old)[:1]
+        old = book[code]
+        out += old
+        width = 9 + sum(len(book) + 2 >= (1 << w) - 1 for w in (9, 10, 11))
+
+
+def plain_tiff(data):
+    """One little-endian page, read by plain loops."""
+    import struct
+
+    at = struct.unpack_from("<I", data, 4)[0]
+    tags = {}
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        tag, kind, n = struct.unpack_from("<HHI", data, at + 2 + 12 * i)
+        f = f"<{n}{'H' if kind == 3 else 'I'}"
+        tags[tag] = struct.unpack_from(f, data, at + 10 + 12 * i if struct.calcsize(f) <= 4 else struct.unpack_from("<I", data, at + 10 + 12 * i)[0])
+    w, h, n = tags[256][0], tags[257][0], tags[277][0]
+    tw, th = (tags[322][0], tags[323][0]) if 322 in tags else (w, tags[278][0])
+    out = bytearray(w * h * n)
+    for k, (o, size) in enumerate(zip(tags.get(324, tags.get(273)), tags.get(325, tags.get(279)), strict=True)):
+        y, x = k // -(-w // tw) * th, k % -(-w // tw) * tw
+        raw, kind = data[o : o + size], tags[259][0]
+        if kind == 5:
+            raw = plain_lzw(raw)
+        elif kind == 8:
+            raw = zlib.decompress(raw)
+        else:
+            i, got = 0, b""
+            while i < len(raw):
+                c = raw[i]
+                got, i = (got + raw[i + 1 : i + 2 + c], i + 2 + c) if c < 128 else (got + raw[i + 1 : i + 2] * (257 - c), i + 2)
+            raw = got
+        for r in range(min(th, h - y)):
+            row = bytearray(raw[r * tw * n : (r + 1) * tw * n])
+            if tags[317][0] == 2:
+                for i in range(n, len(row)):
+                    row[i] = (row[i] + row[i - n]) % 256
+            size = min(tw, w - x) * n
+            out[((y + r) * w + x) * n : ((y + r) * w + x) * n + size] = row[:size]
+    return bytes(out), tags
+
+
+def test_tiff_query(spark):
+    """Every column of the query, from the stored files read by an independent reader."""
+    texts = {r.doc_id: r.text or "" for r in real(spark, "documents").collect()}
+    media = {r.doc_id: bytes(r.media) for r in tiff.store_texts(real(spark, "documents")).collect()}
+    kinds = set()
+    got = tiff.op7(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        back, tags = plain_tiff(media[r.doc_id])
+        assert back == payload
+        kinds.add((tags[259][0], 322 in tags))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+        layout, n = ("tiles", len(tags[324])) if 322 in tags else ("strips", len(tags[273]))
+        assert r.feature == f"{tags[256][0]}:{tags[257][0]}:3:{tags[259][0]}:{tags[317][0]}:{layout}:{n}:{zlib.crc32(payload)}"
+    assert len(kinds) == 6
+
+
 # ---- 8 vectors
 
 
@@ -652,6 +725,21 @@ def test_vectors(spark):
     assert again == brute_vectors(rows)
 
 
+def test_vectors_of_any_magnitude(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.0001e200], 1), (3, [1e-200, 1e-200], 1), (4, [1.0, 1.0], 1), (5, [1e308, -1e308], 1), (6, [5e-324, 5e-324], 1), (7, [1.0, -1.0], 2), (8, [-3e-310, 3e-310], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_join.cosine_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (4, 1) for i in (1, 2, 3, 4, 6)}, 5: (0, 5), 7: (0, 7), 8: (0, 8)}
+
+
+def test_vectors_over_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.array([1.0, 0, 0, 0]) + rng.normal(size=4) * 0.1).astype(np.float32).tolist(), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(vector_join, "BLOCK", 20)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.cosine_join(df).collect()}
+    assert got == brute_vectors(rows)
+
+
 def test_vectors_on_embeddings(spark):
     e = real(spark, "embeddings").collect()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.op8(spark, SF).collect()}

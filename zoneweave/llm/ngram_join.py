@@ -236,7 +236,9 @@ def roots(m: np.ndarray) -> np.ndarray:
     """The least index that each node of a symmetric boolean matrix reaches."""
     lab = np.arange(len(m))
     while True:
-        new = np.minimum(lab, np.where(m, lab[None, :], len(m)).min(axis=1, initial=len(m)))
+        # in slices: the matrix of labels would take eight times the room of m
+        new = np.concatenate([np.where(m[s : s + 256], lab[None, :], len(m)).min(axis=1, initial=len(m)) for s in range(0, len(m), 256)] or [lab])
+        new = np.minimum(lab, new)
         new = new[new]
         if (new == lab).all():
             return lab

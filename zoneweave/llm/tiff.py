@@ -51,79 +51,92 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def lzw_widths(n: int) -> np.ndarray:
+    """Bits of each of the n codes that follow a clear code: one more from the entry of all ones on, 12 at most."""
+    entry = 258 + np.arange(n)
+    return 9 + (entry >= 512) + (entry >= 1024) + (entry >= 2048)
+
+
 def lzw_encode(data: bytes) -> bytes:
     """LZW with codes of 9 to 12 bits, high bit first; a code width ends with the entry of all ones."""
-    single = [bytes([i]) for i in range(256)]
-    codes: list[tuple[int, int]] = [(256, 9)]
-    book = {s: i for i, s in enumerate(single)}
-    nxt, width, cur = 258, 9, b""
-    for i in range(len(data)):
-        s = cur + data[i : i + 1]
-        if s in book:
-            cur = s
+    codes, clears = [256], [0]
+    book: dict[int, int] = {}  # (code, byte) -> code
+    find, put, nxt, rest = book.get, codes.append, 258, iter(data)
+    cur = next(rest, -1)
+    for byte in rest:
+        key = cur << 8 | byte
+        got = find(key)
+        if got is not None:
+            cur = got
             continue
-        codes.append((book[cur], width))
-        book[s] = nxt
+        put(cur)
+        cur = byte
+        book[key] = nxt
         nxt += 1
         if nxt == 4095:
-            codes.append((256, 12))
-            book = {s: i for i, s in enumerate(single)}
-            nxt, width = 258, 9
-        elif nxt >= 1 << width:
-            width += 1
-        cur = data[i : i + 1]
-    if cur:
-        codes.append((book[cur], width))
-        nxt += 1
-        if nxt >= 1 << width and width < 12:
-            width += 1
-    codes.append((257, width))
-    value, width = np.array(codes, np.int64).T
-    shift = np.arange(11, -1, -1)
+            clears.append(len(codes))
+            put(256)
+            book.clear()
+            nxt = 258
+    if cur >= 0:
+        put(cur)
+    codes.append(257)
+    ends = [*clears[1:], len(codes)]
+    width = np.concatenate([[9], *(lzw_widths(e - s) for s, e in zip(clears, ends, strict=True))])[: len(codes)]
+    value, shift = np.array(codes, np.int64), np.arange(11, -1, -1)
     bits = ((value[:, None] >> shift) & 1).astype(np.uint8)
     return np.packbits(bits[shift[None, :] < width[:, None]]).tobytes()
 
 
+#: Widths of the codes after a clear code, which must follow before a table of 4,096 entries is full.
+_WIDTHS = lzw_widths(4096)
+
+
+def lzw_table(code: np.ndarray) -> np.ndarray:
+    """Bytes of the codes of one table. Entry 258 + i repeats what code i wrote and one byte more, so each byte of a code
+    is a copy of an earlier output byte or a literal: lengths and sources are found by doubling steps along these chains."""
+    n = len(code)
+    literal = code < 256
+    of = np.where(literal, -1, code - 258)
+    if (of >= np.arange(n)).any():
+        raise ValueError("LZW code beyond its table")
+    size, up = np.ones(n, np.int64), of
+    while (up >= 0).any():
+        size = size + np.where(up >= 0, size[up], 0)
+        up = np.where(up >= 0, up[up], -1)
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(n), size)
+    place = np.arange(len(owner))
+    source = np.where(literal[owner], place, start[of[owner]] + place - start[owner])
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    return code[owner[source]].astype(np.uint8)
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    out, parts = 0, []
-    book: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
-    width, have, hold, old = 9, 0, 0, b""
-    for byte in data:
-        hold = (hold << 8) | byte
-        have += 8
-        if have < width:
-            continue
-        have -= width
-        code = hold >> have
-        hold &= (1 << have) - 1
-        if code == 256:
-            del book[258:]
-            width, old = 9, b""
-            continue
-        if code == 257 or out >= size:
+    """At least `size` bytes of an LZW stream, or what there is: the codes up to the next clear code at once."""
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    at, have, out = 0, 0, []
+    while have < size:
+        count = (8 * len(data) - at) // 9
+        width = _WIDTHS if count >= len(_WIDTHS) else lzw_widths(count)
+        ends = at + np.cumsum(width)
+        width = width[: int(np.searchsorted(ends, 8 * len(data), "right"))]
+        first = ends[: len(width)] - width
+        byte = first >> 3
+        code = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (first & 7) - width) & ((1 << width) - 1)
+        stop = np.flatnonzero((code == 256) | (code == 257))
+        n = int(stop[0]) if len(stop) else len(code)
+        if n:
+            out.append(lzw_table(code[:n]))
+            have += len(out[-1])
+        if not len(stop) or code[n] == 257:
             break
-        if not old:
-            s = book[code]
-        else:
-            if code < len(book):
-                s = book[code]
-                book.append(old + s[:1])
-            elif code == len(book):
-                s = old + old[:1]
-                book.append(s)
-            else:
-                raise ValueError(f"LZW code {code} beyond {len(book)}")
-            n = len(book)
-            if n >= 2047:
-                width = 12
-            elif n >= 1023:
-                width = 11
-            elif n >= 511:
-                width = 10
-        parts.append(s)
-        out += len(s)
-        old = s
-    return b"".join(parts)
+        at = int(ends[n])
+    return b"".join(x.tobytes() for x in out)
 
 
 def inflate(kind: int, data: bytes, rows: int, row_bytes: int) -> bytes:
@@ -276,18 +289,18 @@ def tiff_pages(files: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
     Both byte orders; 8- and 16-bit samples; raw, PackBits, LZW and deflate; strips and tiles; chunky and
     planar; predictor 2. A page that is damaged or unsupported gives a row with error set and the next pages
     follow; where the directories themselves end in damage, one such row is the last. So no file fails a job. Rows stream in batches bounded by bytes, without a shuffle; each file
-    is decoded alone. Repeated rows repeat; an empty table gives an empty result. keep columns named like
-    an output column raise, other columns are not read.
+    is decoded alone. Repeated rows repeat; an empty table gives an empty result. A keep column named like
+    an output column comes back as kept_<name>; other columns are not read.
     """
     bound_batches(files.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     page = StructType.fromDDL(PAGE)
-    if clash := set(keep) & set(page.names):
-        raise ValueError(f"columns named like a page's: {sorted(clash)}")
-    schema = StructType([*files.select(*keep).schema.fields, *page.fields])
-    return files.select(*keep, media_col).mapInArrow(_pages(media_col, keep, to_arrow_schema(schema)), schema)
+    names = [f"kept_{c}" if c in page.names else c for c in keep]
+    files = files.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(media_col).alias("_media"))
+    schema = StructType([*files.select(*names).schema.fields, *page.fields])
+    return files.mapInArrow(_pages("_media", names, to_arrow_schema(schema)), schema)
 
 
 #: Samples of a stored row: 64 pixels of three samples.

@@ -10,14 +10,31 @@ from pyspark.sql import functions as F
 from .common import bound_batches, components, cut, grouped, table
 from .ngram_join import roots
 
-#: Pivots, the bounded sample they are picked from, and vectors on one side of a block.
-PIVOTS, SAMPLE, BLOCK = 16, 2048, 512
+#: Most pivots, the bounded sample they are picked from, vectors on one side of a block, rows of it compared at a time.
+PIVOTS, SAMPLE, BLOCK, SLICE = 256, 2048, 2048, 256
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to 0.5 to 1: exact, and squares stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A vector's bytes: single precision where that holds it exactly."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return short.tobytes() if (short == x).all() else x.tobytes()
+
+
+def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64).astype(np.float64) for r in rows])
+
+
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first traversal of unit vectors: well-spread pivots, fixed by the sample's order."""
     if not len(sample):
@@ -62,7 +79,8 @@ def _assign(pivots: np.ndarray, r: float):
                 else:  # another dimension than the sample's: one cell
                     home, reach = np.zeros(len(at), int), np.ones((len(at), 1), bool)
                 for k, i in enumerate(at):
-                    out += [(ids[i], f"{label[i]}/{dim}/{q}", q == home[k], copies[i], vecs[i].tobytes()) for q in np.flatnonzero(reach[k]).tolist()]
+                    raw = packed(vecs[i])
+                    out += [(ids[i], f"{label[i]}/{dim}/{q}", q == home[k], copies[i], raw) for q in np.flatnonzero(reach[k]).tolist()]
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -73,45 +91,47 @@ def _compare(threshold: float):
     schema = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def run(batches):
-        for _, t in grouped(batches, ["cell", "i", "j"]):
+        for (cell, _, _), t in grouped(batches, ["cell", "i", "j"]):
             side, ids, copies = (t.column(c).to_numpy() for c in ("side", "id", "copies"))
-            x = np.stack([np.frombuffer(v, np.float64) for v in t.column("vec").to_pylist()])
-            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             a, b = np.flatnonzero(side), np.flatnonzero(~side)
             if not len(a) or not len(b):
                 continue
-            m = (x[a] @ x[b].T) / (norm[a][:, None] * norm[b][None, :]) >= threshold
-            m &= ids[a][:, None] != ids[b][None, :]
-            links = m.astype(np.int64) @ copies[b]
+            x = scaled(unpacked(t.column("vec").to_pylist(), int(cell.split("/")[-2])))
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             both, at = np.unique(ids, return_inverse=True)
-            full = np.zeros((len(both), len(both)), bool)
-            p, q = np.nonzero(m)
-            full[at[a[p]], at[b[q]]] = True
+            full, count = np.zeros((len(both), len(both)), bool), np.zeros(len(both), np.int64)
+            xb, nb = x[b].T, norm[b][None, :]
+            for s in range(0, len(a), SLICE):
+                own = a[s : s + SLICE]
+                m = (x[own] @ xb) / (norm[own][:, None] * nb) >= threshold
+                m &= ids[own][:, None] != ids[b][None, :]
+                count[at[own]] = m.astype(np.int64) @ copies[b]
+                p, q = np.nonzero(m)
+                full[at[own[p]], at[b[q]]] = True
             full |= full.T
-            count = np.zeros(len(both), np.int64)
-            count[at[a]] = links
             hit = full.any(axis=1)
             yield pa.record_batch([pa.array(both[hit]), pa.array(both[roots(full)][hit]), pa.array(count[hit])], schema=schema)
 
     return run, "id long, root long, links long"
 
 
-def cosine_join(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+def cosine_join(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, pivots: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """Exact links between vectors of an equal label with a cosine similarity >= threshold.
 
     Returns one row an id: vec_id, n_links (long; copies count), component_id (smallest id reachable)
     and kept (vec_id = component_id); names follow id_col. On the unit sphere the cosine bound is the
     Euclidean radius r = sqrt(2 - 2*threshold).
 
-    Equal vectors of a label become one class first. Pivots, at most `pivots` from a sample of at most
-    `sample` vectors (both bound what reaches the driver; they steer cost only, never results), partition
-    the sphere. A vector goes to its nearest pivot's cell and as a replica to each cell that the
+    Equal vectors of a label become one class first. Pivots from a sample of at most `sample` vectors partition the
+    sphere: `pivots` of them, by default one for each BLOCK vectors of the largest label and PIVOTS at most (these
+    bound what reaches the driver; they steer cost only, never results). A vector goes to its nearest pivot's cell and as a replica to each cell that the
     triangle inequality cannot rule out. Cells join independently: home vectors against all in the
-    cell, dealt to pairs of blocks of about 512 vectors, so a hot cell spreads over many tasks. A
+    cell, dealt to pairs of blocks of about BLOCK vectors, so a hot cell spreads over many tasks. A
     block returns one row a vector: its links and its root there, never pairs.
 
     Null vectors, zero vectors, those with a null or non-finite component and those without a label
-    link with nothing and are their own component. Vectors of different lengths never link. Rows that
+    link with nothing and are their own component. Any finite magnitude compares: vectors are scaled by a power of two
+    first, and travel in single precision where that is exact. Vectors of different lengths never link. Rows that
     repeat an id count once (the smallest hash class); null ids are dropped. Empty table: empty result.
     """
     spark = vectors.sparkSession
@@ -127,6 +147,9 @@ def cosine_join(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     named = rows.where("ok").withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit("v"), "vec"))
     reps = named.join(classes, ["label", "h1", "h2"]).where("id = class_id").dropDuplicates(["id"]).select("id", "label", "copies", "vec")
     reps = cut(reps)
+    if pivots is None:
+        largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        pivots = min(PIVOTS, -(-largest // BLOCK))
     picked = [np.asarray(x[0]) for x in reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").collect()]
     dim = max({len(x) for x in picked}, key=[len(x) for x in picked].count, default=0)
     p = choose_pivots(unit(np.stack([x for x in picked if len(x) == dim])), pivots) if picked else np.zeros((0, 0))
