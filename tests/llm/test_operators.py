@@ -352,6 +352,25 @@ def test_mixing(docs, none):
     assert every.where("n_tokens > 0 and copies <> 1").count() == 0
 
 
+def test_mixing_splits_the_border_bucket(spark, monkeypatch):
+    """Many rounds of digits give what one window over all rows gives; equal rows go together."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(400), "w " * rng.randrange(9), rng.choice("ab")) for _ in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    run = lambda: sorted((r.doc_id, r.text, r.source, r.copies) for r in mixing.mix(df, {"source": F.col("source")}, {"source": {"a": 2}}, share=0.55, max_epochs=2).collect())
+    whole = run()
+    monkeypatch.setattr(mixing, "EDGE", 2)
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    assert run() == whole
+    total = sum(t.count("w") for _, t, _ in rows)
+    taken = sum(t.count("w") * c for _, t, _, c in whole)
+    assert 0.5 * total < taken <= 0.55 * total
+    alike = {}
+    for i, t, s, c in whole:
+        alike.setdefault((i, t, s), set()).add(c)
+    assert all(len(c) == 1 for c in alike.values())
+
+
 def test_sharding(docs, none):
     names = sharding.production_shards()
     table = sharding.lookup_table(names, sharding.SLOTS)
@@ -841,6 +860,27 @@ def test_pipeline(spark):
     assert last.count() == docs.count() and last.where("not round_trip").count() == 0
 
 
+def test_stages_on_hard_inputs(spark, docs, none):
+    """Null, empty and long texts, null and repeated ids, copies and clashing columns; then no rows at all."""
+    import corpus_pipeline as cp
+
+    now = {name: set() for name, _ in cp.STAGES}
+    part = docs
+    for name, stage in cp.STAGES:
+        out = stage(spark, part, SF)
+        rows = out.collect()
+        now[name] = [r.doc_id for r in rows]
+        if name == "line_dedup":
+            groups = brute_join([(r.doc_id, r.text) for r in rows if r.doc_id is not None])
+        assert stage(spark, none, SF).count() == 0
+        part = spark.createDataFrame(rows, out.schema).withColumns({c: F.lit("own") for c in CLASH if c not in out.columns}) if name != "tokens" else None
+    assert sorted(now["toxicity"], key=str) == sorted([d[0] for d in DOCS if d[0] != 9], key=str)
+    assert sorted(now["line_dedup"], key=str) == sorted(now["toxicity"], key=str)
+    assert set(now["near_dedup"]) == {None} | {i for i, (_, _, kept) in groups.items() if kept}
+    assert set(now["mixing"]) <= set(now["near_dedup"]) and sorted(now["tokens"], key=str) == sorted(now["mixing"], key=str)
+    assert all(r.round_trip for r in rows)
+
+
 def test_run(spark):
     import corpus_pipeline as cp
 

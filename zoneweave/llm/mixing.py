@@ -10,8 +10,8 @@ from .common import cut, table
 
 #: Plans of up to this many leaves are broadcast; larger ones join by shuffle.
 BROADCAST_LEAVES = 50_000
-#: Hex digits of the order hash that name a bucket of a leaf's epoch.
-DIGITS = 3
+#: Hex digits of the order hash that a round of bucket sums looks at; rows of a border bucket that end the rounds.
+DIGITS, EDGE = 2, 4096
 
 
 def n_tokens(text: str) -> Column:
@@ -80,54 +80,59 @@ def mix(
     full (fill()). A leaf takes whole epochs and then the longest prefix, in whole documents, of one
     more epoch whose order is md5 of seed, epoch and id, within its tokens.
 
-    The prefix sum is distributed: tokens add up by leaf and hash bucket (map-side), a window runs over at
-    most 4096 buckets of a leaf, and only the bucket at the border is ordered row by row, so a leaf with a
-    third of all rows never meets in one task. Texts move through no shuffle but for that bucket.
-    A leaf plan of at most BROADCAST_LEAVES rows, counted first, is broadcast; a larger one is shuffled.
+    Ids, leaves, token counts and text hashes are checkpointed as one narrow table; texts move through no shuffle. The
+    prefix sum is distributed: tokens add up by leaf and 256 buckets of the order hash (map-side), a window over a leaf's
+    buckets finds the one at the border, and that one is split by the next digits, until it has at most EDGE rows, whatever
+    the leaf's size. Only these are summed row by row. What is left is a cut-off key a leaf, and each document is
+    compared with its leaf's. A leaf plan of at most BROADCAST_LEAVES rows, counted first, is broadcast; a larger one is shuffled.
 
     Null levels form a leaf of their own. Null or empty text has 0 tokens and is taken with a prefix that
-    has any tokens. Equal ids tie by token count, then text hash. Null ids order as the text 'null'. An empty
-    table gives an empty result. Adds the level names, n_tokens and copies, overwriting equal names.
+    has any tokens; very long texts count like others. Equal ids tie by token count, then text hash; rows equal in all of these are taken
+    together or not at all. Null ids order as the text 'null'. An empty table gives an empty result. Adds the level names, n_tokens and copies, overwriting equal names.
     """
     names, k = list(levels), "_mx_"
     keyed = docs.drop(*[c for c in ("n_tokens", "copies") if c in docs.columns])
     for c, e in levels.items():
         keyed = keyed.withColumn(c, e)
-    leaves = cut(keyed.select(*names, n_tokens(text_col).alias("t")).groupBy(*names).agg(F.sum("t").alias("t")))
+    own = [n_tokens(text_col).alias(k + "n"), F.xxhash64(text_col).alias(k + "h")]
+    name_of = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    counted = cut(keyed.select(*names, name_of.alias(k + "id"), *own))
+    leaves = cut(counted.groupBy(*names).agg(F.sum(k + "n").alias("t")))
     plan = cut(leaf_plan(leaves, names, weights, share, max_epochs))
     small = plan.count() <= BROADCAST_LEAVES
 
-    def on_leaf(rows: DataFrame, side: DataFrame) -> DataFrame:
+    def on_leaf(rows: DataFrame, side: DataFrame, how: str = "left") -> DataFrame:
         side = side.select(*[F.coalesce(F.col(c), F.lit("\x00")).alias(k + c) for c in names], *[c for c in side.columns if c not in names])
         side = F.broadcast(side) if small else side
         cond = [F.coalesce(rows[c], F.lit("\x00")) == side[k + c] for c in names]
-        return rows.join(side, cond, "left").drop(*[k + c for c in names])
+        return rows.join(side, cond, how).drop(*[k + c for c in names])
 
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(k + "full").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    order_of = lambda name: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(k + "full").cast("string"), name))
     asked = plan.select(*names, F.col("full").alias(k + "full"), F.col("rest").alias(k + "rest"))
-    sums = (
-        on_leaf(keyed.select(*names, id_col, n_tokens(text_col).alias(k + "n")), asked.where(F.col(k + "rest") > 0))
-        .where(F.col(k + "rest").isNotNull())
-        .groupBy(*names, F.substring(order, 1, DIGITS).alias(k + "bucket"), k + "rest")
-        .agg(F.sum(k + "n").alias(k + "n"))
-    )
-    upto = F.sum(k + "n").over(W.partitionBy(*names).orderBy(k + "bucket"))
-    border = (
-        sums.withColumn(k + "to", upto).where(F.col(k + "to") > F.col(k + "rest"))
-        .groupBy(*names).agg(F.min(F.struct(k + "bucket", F.expr(f"{k}to - {k}n").alias("start"))).alias(k + "b"))
-        .select(*names, F.col(k + "b")[k + "bucket"].alias(k + "border"), F.col(k + "b")["start"].alias(k + "start"))
+    rows = on_leaf(counted, asked.where(F.col(k + "rest") > 0), "inner").withColumn(k + "order", order_of(F.col(k + "id"))).drop(k + "id")
+    edge, left = rows.withColumn(k + "start", F.lit(0).cast("long")), None
+    for digits in range(DIGITS, 33, DIGITS):
+        by = W.partitionBy(*names).orderBy(k + "bucket")
+        sums = edge.groupBy(*names, k + "rest", k + "start", F.substring(k + "order", 1, digits).alias(k + "bucket")).agg(F.sum(k + "n").alias(k + "n"), F.count("*").alias(k + "rows"))
+        over = sums.withColumn(k + "to", F.col(k + "start") + F.sum(k + "n").over(by)).where(F.col(k + "to") > F.col(k + "rest"))
+        first = F.min(F.struct(F.col(k + "bucket"), (F.col(k + "to") - F.col(k + "n")).alias(k + "start"), F.col(k + "rows"))).alias(k + "b")
+        border = cut(over.groupBy(*names).agg(first).select(*names, F.col(k + "b")[k + "bucket"].alias(k + "border"), F.col(k + "b")[k + "start"].alias(k + "start"), F.col(k + "b")[k + "rows"].alias(k + "rows")))
+        edge = on_leaf(rows, border, "inner").where(F.col(k + "order").startswith(F.col(k + "border")))
+        left = border.agg(F.max(k + "rows")).first()[0]
+        if (left or 0) <= EDGE:
+            break
+    key = [k + "order", k + "n", k + "h"]
+    taken = F.col(k + "start") + F.sum(k + "t").over(W.partitionBy(*names).orderBy(*key))
+    last = (
+        edge.groupBy(*names, k + "rest", k + "start", *key).agg(F.sum(k + "n").alias(k + "t")).withColumn(k + "taken", taken)
+        .where(F.col(k + "taken") <= F.col(k + "rest")).groupBy(*names).agg(F.max(F.struct(*key)).alias(k + "last"))
     )
-    border = cut(border)
-    rows = on_leaf(on_leaf(keyed, asked), border).withColumn("n_tokens", n_tokens(text_col)).withColumn(k + "order", order)
-    bucket = F.substring(k + "order", 1, DIGITS)
-    extra = F.when((F.col(k + "rest") > 0) & (F.col(k + "border").isNull() | (bucket < F.col(k + "border"))), 1).otherwise(0)
-    at_border = F.coalesce((F.col(k + "rest") > 0) & (bucket == F.col(k + "border")), F.lit(False))
-    taken = F.col(k + "start") + F.sum("n_tokens").over(W.partitionBy(*names).orderBy(k + "order", id_col, "n_tokens", F.xxhash64(text_col)).rowsBetween(W.unboundedPreceding, 0))
-    out = [c for c in keyed.columns] + ["n_tokens"]
-    full = F.coalesce(F.col(k + "full"), F.lit(0))
-    clear = rows.where(~at_border).select(*out, (full + extra).cast("long").alias("copies"))
-    edge = rows.where(at_border).withColumn(k + "taken", taken).select(*out, (full + F.when(F.col(k + "taken") <= F.col(k + "rest"), 1).otherwise(0)).cast("long").alias("copies"))
-    return clear.unionByName(edge)
+    decide = on_leaf(on_leaf(asked, border.select(*names, k + "border")), last)
+    decided = on_leaf(keyed.withColumns({"n_tokens": n_tokens(text_col), k + "h": F.xxhash64(text_col)}), cut(decide)).withColumn(k + "order", order_of(name_of))
+    here = F.struct(F.col(k + "order"), F.col("n_tokens").alias(k + "n"), F.col(k + "h"))
+    extra = (F.col(k + "rest") > 0) & (F.col(k + "border").isNull() | (F.col(k + "order") < F.col(k + "border")) | F.coalesce(here <= F.col(k + "last"), F.lit(False)))
+    copies = F.coalesce(F.col(k + "full"), F.lit(0)) + F.when(extra, 1).otherwise(0)
+    return decided.select(*keyed.columns, "n_tokens", copies.cast("long").alias("copies"))
 
 
 #: Fixed values of the registered query.
