@@ -69,5 +69,10 @@ def grams(tokens_: Column) -> Column:
     return F.concat(tokens_, F.zip_with(F.slice(tokens_, F.lit(1), n), F.slice(tokens_, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def text_grams(c: Column) -> Column:
+    """Unigrams and bigrams of a text; its tokens are bound as a lambda variable, so they are found once."""
+    return F.transform(F.array(tokens(c)), grams)[0]
+
+
 def cut_text(c: Column, size: int) -> Column:
     return F.substring(c, 1, size)

@@ -16,6 +16,8 @@ from ..operators import ranges as rg
 from ..operators import retrieval as rt
 from ..operators import rules as ru
 from ..operators import setback as sb
+from ..operators.needles import find_needles
+from ..session import cut
 from ..streaming.resume import pending
 from .constants import RESIDENTIAL
 from .views import buildings, chunks, questions, raw_parcels, table
@@ -106,8 +108,9 @@ def bm25_topk(spark, sf_dir) -> DataFrame:
 
 
 def normalized(spark, sf_dir) -> DataFrame:
+    """Scores of matched chunks with their normalised forms; all other chunks score 0 in each."""
     index, q, s = lexical(spark, sf_dir)
-    return rt.normalize_all(rt.every_chunk(index, q, s), ["tfidf", "bm25"])
+    return rt.normalize_all(s, ["tfidf", "bm25"], index.totals)
 
 
 def hybrid_topk(spark, sf_dir) -> DataFrame:
@@ -118,23 +121,14 @@ def boosted_topk(spark, sf_dir) -> DataFrame:
     """The boost rule with words of seven and more letters as signals, since these texts name no articles."""
     s = normalized(spark, sf_dir).withColumn("mixed", rt.blend("tfidf", "bm25", 0.5))
     words = F.array_distinct(F.transform(F.regexp_extract_all("question", F.lit("[A-Za-z]{7,}"), F.lit(0)), F.lower))
-    q = questions(spark, sf_dir).select("item_id", F.explode(words).alias("signal"))
-    hits = chunks(spark, sf_dir).crossJoin(F.broadcast(q)).where(F.contains("text", F.col("signal")) | F.contains("source", F.col("signal")))
-    boost = hits.groupBy("item_id", "chunk_id").agg(F.least(F.lit(0.45), F.count("*") * 0.15).alias("boost"))
-    s = s.join(boost, ["item_id", "chunk_id"], "left").withColumn("mixed", F.col("mixed") + F.coalesce("boost", F.lit(0.0)))
-    return rt.top_k(s, "mixed", 5)
+    q = questions(spark, sf_dir).select("item_id", F.explode(words).alias("needle"))
+    found = find_needles(chunks(spark, sf_dir), ["chunk_id"], F.concat_ws("\x00", "text", "source"), q, "needle")
+    boost = found.join(q, "needle").groupBy("item_id", "chunk_id").agg(F.least(F.lit(0.45), F.count("*") * 0.15).alias("boost"))
+    return rt.top_k(rt.boosted(s, "mixed", boost), "mixed", 5)
 
 
 def embedding_cosine_topk(spark, sf_dir) -> DataFrame:
-    """Queries are the vectors whose id is divisible by 20, against all vectors of their label."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where(F.pmod("vec_id", F.lit(20)) == 0).select(F.col("vec_id").alias("item_id"), "label", F.col("v").alias("q"))
-    s = e.join(q, "label").where("vec_id <> item_id").select("item_id", F.col("vec_id").alias("chunk_id"), rt.cosine(F.col("v"), F.col("q")).alias("score"))
-    return rt.top_k(s, "score", 5)
-
-
-def embedding_cosine_topk_all(spark, sf_dir) -> DataFrame:
-    """The same queries against the vectors of all labels, those without a label too."""
+    """Queries are the vectors whose id is divisible by 20, against the vectors of all labels, those without a label too."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return rt.vector_topk(e.where(F.pmod("id", F.lit(20)) == 0), e, 5)
 
@@ -159,7 +153,7 @@ def reports(spark, sf_dir, modes: tuple[str, ...] = LEXICAL_MODES) -> DataFrame:
     grid = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{m}', {i}, {a}D)" for m, i, a in rows) + " AS t(mode, ord, alpha)")
     score = F.coalesce(*[F.when(F.col("mode") == m, F.col(m) if m in rt.SINGLE else rt.blend(*rt.PAIRS[m], F.col("alpha"))) for m in modes])
     top = rt.top_k(s.crossJoin(F.broadcast(grid)).withColumn("mixed", score), "mixed", 5, ("mode", "ord", "alpha", "item_id"))
-    results = top.join(chunks(spark, sf_dir), "chunk_id")
+    results = cut(cut(top).join(chunks(spark, sf_dir), "chunk_id"))  # five rows a question and candidate, which the metrics read several times
     m = ev.question_metrics(questions(spark, sf_dir), results, by=("mode", "ord", "alpha"))
     return ev.macro(m, ("mode", "ord", "alpha"))
 
@@ -180,8 +174,9 @@ def article_chunks(spark, sf_dir) -> DataFrame:
 
 def missing_items(spark, sf_dir) -> DataFrame:
     q = questions(spark, sf_dir).select("item_id", F.array_distinct("required_items").alias("required_items"))
-    r = q.select("item_id", F.explode("required_items").alias("token"))
-    hit = chunks(spark, sf_dir).crossJoin(F.broadcast(r)).where(F.contains("text", F.col("token"))).groupBy("item_id").agg(F.collect_set("token").alias("found"))
+    r = q.select("item_id", F.explode("required_items").alias("needle"))
+    found = find_needles(chunks(spark, sf_dir), [], F.col("text"), r, "needle").distinct()
+    hit = r.join(found, "needle").groupBy("item_id").agg(F.collect_set("needle").alias("found"))
     j = q.join(hit, "item_id", "left")
     missing = F.array_except("required_items", F.coalesce("found", F.array().cast("array<string>")))
     return j.select("item_id", F.size("required_items").alias("required"), F.size(missing).alias("missing"))
@@ -232,7 +227,6 @@ QUERIES = {
     "boosted_topk": boosted_topk,
     "dense_topk": dense_topk,
     "embedding_cosine_topk": embedding_cosine_topk,
-    "embedding_cosine_topk_all": embedding_cosine_topk_all,
     "retrieval_metrics": lambda s, d: reports(s, d).drop("ord"),
     "mode_selection": mode_selection,
     "retrieval_metrics_all": lambda s, d: reports(s, d, ALL_MODES).drop("ord"),

@@ -84,14 +84,14 @@ nm AS (SELECT *, CASE WHEN max(tfidf) OVER w - min(tfidf) OVER w < 1e-9 THEN 0 E
 
 
 def _top(score: str, k: int, source: str) -> str:
-    return f"""SELECT item_id, chunk_id, score, rank FROM (SELECT item_id, chunk_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id)::INT AS rank
-  FROM (SELECT item_id, chunk_id, round({score}, 6) AS score FROM {source})) WHERE rank <= {k} AND score > 0"""
+    return f"""SELECT item_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT item_id, chunk_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id)::INT AS rank
+  FROM (SELECT item_id, chunk_id, round({score}, 12) AS score FROM {source})) WHERE rank <= {k} AND score > 0"""
 
 
 _MODES = "[('tfidf', 0, 0.5)] || [('bm25', 1, 0.5)] || list_transform(range(1, 10), lambda i: ('hybrid_tfidf_bm25', 2, i / 10))"
 METRICS = f"""{INDEX},
 md AS (SELECT 'tfidf' AS mode, 0 AS ord, 0.5::DOUBLE AS alpha UNION ALL SELECT 'bm25', 1, 0.5 UNION ALL SELECT 'hybrid_tfidf_bm25', 2, i / 10 FROM range(1, 10) r(i)),
-ms AS (SELECT mode, ord, alpha, item_id, chunk_id, round(CASE ord WHEN 0 THEN tfidf WHEN 1 THEN bm25 ELSE alpha * n_t + (1 - alpha) * n_b END, 6) AS score FROM nm, md),
+ms AS (SELECT mode, ord, alpha, item_id, chunk_id, round(CASE ord WHEN 0 THEN tfidf WHEN 1 THEN bm25 ELSE alpha * n_t + (1 - alpha) * n_b END, 12) AS score FROM nm, md),
 tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mode, alpha, item_id ORDER BY score DESC, chunk_id) AS rank FROM ms) WHERE rank <= 5 AND score > 0),
 qs AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda x: trim(x)), lambda x: length(x) >= 40) AS req, item_id % 3 <> 0 AS gold FROM benchmark),
 rq AS (SELECT item_id, unnest(req) AS token, generate_subscripts(req, 1) AS pos FROM qs),
@@ -151,9 +151,9 @@ ORACLES = {
     "boosted_topk": f"""WITH {INDEX}, sg AS (SELECT item_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{{7,}}'), lambda x: lower(x))))  AS s FROM benchmark),
       bs AS (SELECT item_id, doc_id AS chunk_id, least(0.45, count(*) * 0.15)::DOUBLE AS boost FROM sg JOIN documents ON contains(coalesce(text, ''), s) OR contains(source, s) GROUP BY ALL),
       bt AS (SELECT nm.item_id, nm.chunk_id, 0.5 * n_t + 0.5 * n_b + coalesce(boost, 0) AS score0 FROM nm LEFT JOIN bs USING (item_id, chunk_id)) {_top('score0', 5, 'bt')}""",
-    "embedding_cosine_topk": """WITH q AS (SELECT vec_id AS item_id, embedding AS qv, label FROM embeddings WHERE vec_id % 20 = 0),
-      s AS (SELECT item_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 6) AS score FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.item_id)
-      SELECT item_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 5 AND score > 0""",
+    "embedding_cosine_topk": """WITH q AS (SELECT vec_id AS item_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+      s AS (SELECT item_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 12) AS score FROM q JOIN embeddings e ON e.vec_id <> q.item_id)
+      SELECT item_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 5 AND score > 0""",
     "retrieval_metrics": f"WITH {METRICS} SELECT mode, alpha, queries, recall_at_k, precision_at_k, mrr, readiness_accuracy FROM rp",
     "mode_selection": f"""WITH {METRICS}, bt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY recall_at_k DESC, precision_at_k DESC, mrr DESC, alpha) AS x FROM rp) WHERE x = 1),
       ok AS (SELECT bool_or(readiness_accuracy >= 0.85) AS any_ok FROM bt)

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a side that is broadcast, at most; it is counted first.
+BROADCAST_ROWS = 200_000
 
 
 def session(master: str | None = None, partitions: int | None = None, **conf) -> SparkSession:
@@ -14,3 +22,30 @@ def session(master: str | None = None, partitions: int | None = None, **conf) ->
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), str(v))
     return b.getOrCreate()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder. A temporary one serves in local mode only: elsewhere executors cannot read it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="zoneweave-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, for tables that are written once and read back."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has few rows, as counted; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
