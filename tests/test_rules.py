@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zoneweave.functions import geometry as g
 from zoneweave.functions import text as tx
-from zoneweave.operators import chunks, evaluate, parcels, retrieval, rules, rules_salvage
+from zoneweave.operators import chunks, evaluate, parcels, retrieval, rules
 from zoneweave.sources import files, shapefile
 from zoneweave.streaming import resume
 
@@ -49,8 +49,7 @@ SALVAGE = ['[{"a": 1}]', '{"b": 2}', 'text ```json\n{"c": 3}\n``` end', 'so [1,
 def test_salvage(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(SALVAGE)] + [(99, None)], "id int, t string")
     got = [r.j for r in df.orderBy("id").select(rules.salvage(F.col("t")).alias("j")).collect()]
-    assert got[:-1] == [rules_salvage.salvage_text(s) for s in SALVAGE]
-    assert got[-1] is None and got[2] == '{"c": 3}' and got[5] is None
+    assert got == ['[{"a": 1}]', '{"b": 2}', '{"c": 3}', "[1, 2]", '{"d": {"e": 1}}', None, None, None, None]
 
 
 def test_validate(spark):
@@ -88,7 +87,8 @@ def test_structure_skips_what_is_done(spark):
     done = spark.createDataFrame([("q1",)], "label string")
     got = rules.structure(df, "label", done).collect()
     assert [(r.label, r.attempts, r.valid) for r in got] == [("q2", 1, True)]
-    assert rules.structure(df, "label", client=lambda t: "none").where("valid").count() == 0
+    failed = rules.structure(df, "label", client=lambda t: "none").collect()
+    assert sorted((r.label, r.attempts, r.valid, r.raw) for r in failed) == [("q1", 3, False, "none"), ("q2", 3, False, "none")]
 
 
 def test_latest_and_prompt(spark):
@@ -160,11 +160,30 @@ def test_shapefile_round_trip(spark, tmp_path):
     df = shapefile.parcels_from_shapes(shapefile.read_shapefiles(spark, str(tmp_path)))
     got = sorted((r.pnu, r.jimok, r.landuse_raw, r.a) for r in df.select("*", g.area(F.col("ring")).alias("a")).collect())
     assert got == [("p1", "대", "13.0", 16.0), ("p2", "", "", 16.0)]
-    assert shapefile.first_shapefile(str(tmp_path)).endswith("Gangnam.shp")
+    assert shapefile.first_shapefile(spark, str(tmp_path)).endswith("Gangnam.shp")
     kr = dbf.replace("대".encode(), "대".encode("cp949") + b" ")
     assert shapefile.read_dbf(kr)[1][0]["A11"] == "대"
 
 
+def test_shapefiles_of_one_stem_in_two_folders(spark, tmp_path):
+    sq = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    for folder, n in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        files = shapefile.pack_features([{"ring": sq, "A1": f"{folder}{i}"} for i in range(n)], (("A1", "C", 19, 0),), "cp949")
+        for ext, data in zip(("shp", "shx", "dbf"), files, strict=True):
+            (tmp_path / folder / f"same.{ext}").write_bytes(data)
+    got = shapefile.read_shapefiles(spark, str(tmp_path), ("cp949", "utf-8")).collect()
+    assert sorted(r.attributes["A1"] for r in got) == ["a0", "b0", "b1"]
+    checks = {r.path[-6:]: r for r in shapefile.verify(shapefile.companions(spark, str(tmp_path))).collect()}
+    assert all(r.ok and r.has_shx and not r.korean_grid and "pnu" in r.missing and r.bad_rings == 0 for r in checks.values()) and len(checks) == 2
+    (tmp_path / "b" / "same.dbf").write_bytes((tmp_path / "a" / "same.dbf").read_bytes())
+    with pytest.raises(Exception, match="2 shapes for 1 rows"):
+        shapefile.read_shapefiles(spark, str(tmp_path)).collect()
+    (tmp_path / "b" / "same.dbf").unlink()
+    with pytest.raises(Exception, match="dbf is missing"):
+        shapefile.read_shapefiles(spark, str(tmp_path)).collect()
+
+
 def test_ring_parts(spark):
     df = spark.sql("SELECT array(named_struct('x', 0D, 'y', 0D), named_struct('x', 2D, 'y', 0D), named_struct('x', 2D, 'y', 2D)) AS points, array(0) AS parts")
     r = g.split_parts(F.col("points"), F.col("parts"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 REQUIRED = ("article_id", "R", "S")
 #: Names under which results of query labels are stored.
 LABELS = {"Q0_포괄질의": "Q0_포괄질의_BuildingEnvelope", "Q1_일조권사선제한": "Q1_일조권사선제한", "Q2_이격거리": "Q2_이격거리", "Q3_높이제한": "Q3_높이제한"}
@@ -140,23 +142,31 @@ def ask(prompts: DataFrame, key: str, client: Callable[[str], str] = stub_client
 
 
 def structure(prompts: DataFrame, key: str, done: DataFrame | None = None, client: Callable[[str], str] = stub_client, attempts: int = 3, single_first: bool = False) -> DataFrame:
-    """Rules of prompts that are not done: key, attempts used, valid, json (articles) and raw (kept where none was valid)."""
-    todo = prompts if done is None else prompts.join(done.select(key).distinct(), key, "left_anti")
-    from .rules_salvage import salvage_text
+    """Rules of prompts that are not done: key, attempts used, valid, json (articles) and raw (kept where none was valid).
 
-    def run(batches):
+    Each attempt asks for the prompts that have no valid article yet, as one job. Answers are checkpointed, so no prompt is
+    asked twice in an attempt; salvage is native, only the articles are judged in Python.
+    """
+    todo = cut((prompts if done is None else prompts.join(done.select(key).distinct(), key, "left_anti")).select(key, "prompt"))
+    kind = prompts.schema[key].dataType.simpleString()
+
+    def judge(batches):
         for pdf in batches:
-            out = []
-            for k, p in zip(pdf[key], pdf["prompt"], strict=True):
-                n, good, raw = 0, [], ""
-                while n < attempts and not good:
-                    n += 1
-                    raw = with_retries(client, p, fail=False)
-                    good = articles_of(salvage_text(raw), single_first)
-                out.append((k, n, bool(good), json.dumps(good, ensure_ascii=False) if good else None, None if good else raw))
-            yield pd.DataFrame(out, columns=[key, "attempts", "valid", "json", "raw"])
-
-    return todo.select(key, "prompt").mapInPandas(run, f"`{key}` {prompts.schema[key].dataType.simpleString()}, attempts int, valid boolean, json string, raw string")
+            good = [articles_of(t, single_first) for t in pdf["json"]]
+            yield pd.DataFrame({key: pdf[key], "answer": pdf["answer"], "json": [json.dumps(g, ensure_ascii=False) if g else None for g in good]})
+
+    out = None
+    for n in range(1, attempts + 1):
+        answers = cut(ask(todo, key, client)).withColumn("json", salvage(F.col("answer")))
+        judged = cut(answers.mapInPandas(judge, f"`{key}` {kind}, answer string, json string"))
+        valid = F.col("json").isNotNull()
+        settled = judged.where(valid | F.lit(n == attempts))
+        part = settled.select(key, F.lit(n).alias("attempts"), valid.alias("valid"), "json", F.when(~valid, F.col("answer")).alias("raw"))
+        out = part if out is None else out.unionByName(part)
+        todo = todo.join(judged.where(~valid).select(key), key, "left_semi")
+        if n < attempts and not todo.take(1):
+            break
+    return out
 
 
 def ranked_contexts(rows: DataFrame) -> DataFrame:

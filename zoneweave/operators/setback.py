@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.constants import BATCH_DISTANCE, INWARD, ROAD_EXCLUSION, TOL, floors, scenarios
+from ..plans.constants import BATCH_DISTANCE, INWARD, ROAD_EXCLUSION, SCENARIOS, TOL, floors, scenarios
 from .parcels import is_regulated, is_residential_apartment, is_target
 
 
@@ -24,6 +24,11 @@ def setback_table(spark: SparkSession, n_floors: int = 7) -> DataFrame:
     return scenarios(spark).crossJoin(floors(spark, n_floors)).select("scenario", "label", "floor", "height_m", setback(F.col("height_m")).alias("setback_m"))
 
 
+def scenario_valid(scenario: Column) -> Column:
+    """Whether a scenario number is known."""
+    return F.coalesce(scenario.isin(*[s[0] for s in SCENARIOS]), F.lit(False))
+
+
 def check_scenario(spark: SparkSession, scenario: int) -> int:
     """The scenario number, or an error unless it is known."""
     if not scenarios(spark).where(F.col("scenario") == scenario).take(1):
@@ -31,17 +36,25 @@ def check_scenario(spark: SparkSession, scenario: int) -> int:
     return scenario
 
 
+#: Rows of the grid that may hold a lot within reach of a lot's northern edge: pitch 20 m, lots at most as deep.
+NEXT_ROWS = 3
+
+
 def base_lines(parcels: DataFrame) -> DataFrame:
     """Residential lots of the rectangular grid with the lot that sets their northern base line.
 
-    The nearest lot to the north in the column owns the line: lead() over lots, roads are skipped. Adds
-    owner_pnu, gap_m, base (is there a line), effective_gap_m (half to an apartment lot), and two QA flags.
+    The nearest lot to the north in the column owns the line; roads are skipped. A target meets the cells (column, row) of the next
+    rows by an equi-join, so groups stay as small as a cell whatever the table's size. Adds owner_pnu, gap_m (of a lot in the
+    next NEXT_ROWS rows), base (is there a line), effective_gap_m (half to an apartment lot), and two QA flags.
     """
-    w = W.partitionBy("col").orderBy("row")
     lots = parcels.where("kind = 'lot'")
-    north = lots.withColumn("north", F.lead(F.struct("pnu", "y0", "landuse_code", "apt_yn")).over(w))
+    own = lots.where(is_target(F.col("landuse_code")))
+    ahead = own.select("pnu", "col", F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEXT_ROWS)), lambda i: F.col("row") + i)).alias("row"))
+    there = lots.select("col", "row", F.struct("pnu", "y0", "landuse_code", "apt_yn").alias("lot"))
+    nearest = ahead.join(there, ["col", "row"]).groupBy("pnu").agg(F.min_by("lot", "row").alias("north"))
+    north = own.join(nearest, "pnu", "left")
     gap = F.col("north.y0") - (F.col("y0") + F.col("depth"))
-    out = north.where(is_target(F.col("landuse_code"))).withColumn("gap_m", gap)
+    out = north.withColumn("gap_m", gap)
     reach = F.col("north").isNotNull() & (F.col("gap_m") < BATCH_DISTANCE)
     regulated = is_regulated(F.col("north.landuse_code"))
     apartment = is_residential_apartment(F.col("north.apt_yn") == "Y", F.col("north.landuse_code")) & (F.col("gap_m") > TOL)
