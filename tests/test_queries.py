@@ -3,8 +3,9 @@
 import pytest
 from conftest import SF, rows_of
 
-from zoneweave.plans.catalog import QUERIES
-from zoneweave.plans.oracles import ORACLES
+from zoneweave.plans import catalog, oracles, studies, studies_sql
+
+QUERIES, ORACLES = catalog.QUERIES | studies.QUERIES, oracles.ORACLES | studies_sql.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -83,6 +83,34 @@ def by_pnu(parcels: DataFrame, pnu: str, ordinal: str = "part_key") -> DataFrame
     return parcels.where(F.col("pnu") == pnu).orderBy(ordinal).limit(1)
 
 
+def by_pnus(parcels: DataFrame, pnus: list[str], ordinal: str = "part_key") -> DataFrame:
+    """The first parcel of each number, in the numbers' order; a number that is absent raises."""
+    found = parcels.where(F.col("pnu").isin(*pnus)).groupBy("pnu").agg(F.min(ordinal).alias(ordinal))
+    out = parcels.join(F.broadcast(found), ["pnu", ordinal]).dropDuplicates(["pnu"])  # as many rows as numbers asked for
+    if missing := set(pnus) - {r.pnu for r in found.collect()}:
+        raise ValueError(f"no parcel {sorted(missing)}")
+    return out
+
+
+def kept_columns(parcels: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Those of the named columns that the table has, in this order."""
+    return parcels.select(*[c for c in names if c in parcels.columns])
+
+
+#: Codes and names of the city's districts.
+DISTRICTS = {
+    "11110": "종로구", "11140": "중구", "11170": "용산구", "11200": "성동구", "11215": "광진구", "11230": "동대문구", "11260": "중랑구", "11290": "성북구", "11305": "강북구",
+    "11320": "도봉구", "11350": "노원구", "11380": "은평구", "11410": "서대문구", "11440": "마포구", "11470": "양천구", "11500": "강서구", "11530": "구로구", "11545": "금천구",
+    "11560": "영등포구", "11590": "동작구", "11620": "관악구", "11650": "서초구", "11680": "강남구", "11710": "송파구", "11740": "강동구",
+}
+
+
+def district_name(code: Column) -> Column:
+    """Name of a district code; the code itself where it is unknown."""
+    names = F.create_map(*[F.lit(x) for kv in DISTRICTS.items() for x in kv])
+    return F.coalesce(F.element_at(names, code), code)
+
+
 def pair_files(parcel_files: DataFrame, building_files: DataFrame) -> DataFrame:
     """Parcel and building files with one district code; paired is false where a side is missing."""
     from ..functions.text import file_code

@@ -142,6 +142,11 @@ def parcel_change(rows: DataFrame, before: int = 1, after: int = 2, at: tuple[in
     return out.dropna(subset=["area_before", "area_after"]).select("pnu", "landuse", F.round("area_before", 4).alias("area_before"), F.round("area_after", 4).alias("area_after"), F.round(rate, 4).alias("change_rate"))
 
 
+def map_rows(lots: DataFrame, changes: DataFrame) -> DataFrame:
+    """All lots of a map with their change rate; lots without one keep null."""
+    return lots.join(changes.select("pnu", "change_rate"), "pnu", "left")
+
+
 def change_bins(changes: DataFrame, low: float = 0.0, high: float = 30.0, step: float = 2.0) -> DataFrame:
     """Histogram of change rates clipped to [low, high], bins of `step`."""
     clipped = F.greatest(F.lit(low), F.least(F.lit(high), F.col("change_rate")))
