@@ -202,7 +202,7 @@ def parcel_rings(spark, sf_dir) -> DataFrame:
     r = r.select("pnu", g.outer_ring(F.col("parts")).alias("ring"), g.hole_rings(F.col("parts")).alias("holes"))
     moved, up = g.bbox(g.translate(F.col("ring"), F.lit(10.0), F.lit(-5.0))), g.lift(F.col("ring"), F.lit(9.0))
     key = g.ring_key(g.translate(F.col("ring"), F.lit(0.0004), F.lit(0.0)))
-    return r.select("pnu", F.when(F.col("ring").isNotNull(), g.parcel_area(F.col("ring"), F.col("holes"))).alias("area"), F.size("holes").alias("holes"), moved["x0"].alias("moved_x0"), moved["y1"].alias("moved_y1"), F.get(up, F.lit(0))["z"].alias("z"), (key == g.ring_key(F.col("ring"))).cast("int").alias("same_key"))
+    return r.select("pnu", F.when(F.col("ring").isNotNull(), g.parcel_area(F.col("ring"), F.col("holes"))).alias("area"), F.size("holes").alias("holes"), moved["x0"].alias("moved_x0"), moved["y1"].alias("moved_y1"), F.get(up, F.lit(0))["z"].alias("z"), (key == g.ring_key(F.col("ring"))).cast("double").alias("same_key"))
 
 
 def district_names(spark, sf_dir) -> DataFrame:

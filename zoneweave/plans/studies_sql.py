@@ -52,7 +52,7 @@ ORACLES = {
       count(*) FILTER (k % 70 = 0 AND k % 50 <> 0) AS bad_ring, count(*) FILTER (k % 50 = 0) AS out_of_extent FROM x""",
     "parcel_map": f"WITH {CHANGE} SELECT p.pnu, p.landuse, change_rate FROM p LEFT JOIN ch USING (pnu) WHERE kind = 'lot'",
     "parcel_rings": f"""WITH {PARCELS} SELECT pnu, CASE part_key % 4 WHEN 1 THEN round(width * depth - 6, 6) WHEN 2 THEN NULL ELSE round(width * depth, 6) END AS area, CASE WHEN part_key % 4 IN (1, 2) THEN 1 ELSE 0 END AS holes,
-      CASE WHEN part_key % 4 <> 2 THEN x0 + 10 END AS moved_x0, CASE WHEN part_key % 4 <> 2 THEN y0 + depth - 5 END AS moved_y1, CASE WHEN part_key % 4 <> 2 THEN 9.0 END AS z, CASE WHEN part_key % 4 <> 2 THEN 1 END AS same_key FROM p""",
+      CASE WHEN part_key % 4 <> 2 THEN x0 + 10 END AS moved_x0, CASE WHEN part_key % 4 <> 2 THEN y0 + depth - 5 END AS moved_y1, CASE WHEN part_key % 4 <> 2 THEN 9.0 END AS z, CASE WHEN part_key % 4 <> 2 THEN 1.0 END AS same_key FROM p""",
     "district_names": f"""WITH d(code, name) AS (VALUES {_D}), c AS (SELECT c_custkey, (11000 + c_custkey % 80 * 10)::VARCHAR AS code FROM customer) SELECT c_custkey, code, coalesce(name, code) AS district FROM c LEFT JOIN d USING (code)""",
     "law_articles": f"WITH {LAWS} SELECT source, article_id, article_title, section_type, text, length(text)::INT AS char_count FROM law",
     "law_rollup": f"WITH {LAWS} SELECT article_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM law WHERE section_type = 'article' GROUP BY 1",
