@@ -140,6 +140,9 @@ def test_resume(spark, tmp_path):
     assert resume.run_districts(spark, ["a", "bad", "c"], step, path)["bad"].startswith("failed")
     assert resume.run_districts(spark, ["a", "bad", "c"], step, path)["a"] == "skipped"
     assert seen == ["a", "bad", "c", "bad"]
+    log = str(tmp_path / "log")
+    resume.run_districts(spark, ["bad", "d"], step, path, log)
+    assert [r.line for r in resume.read_log(spark, log).collect()] == ["bad: failed: ValueError: x", "d: done"]
 
 
 def test_ingest(spark, tmp_path):
@@ -197,3 +200,37 @@ def test_files(spark, tmp_path):
     (tmp_path / "q.json").write_text('[{"id": "1", "question": "q", "required_items": ["a"]}]')
     r = files.read_queries(spark, str(tmp_path / "q.json")).first()
     assert r.gold_ready is True and r.required_attachments == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from zoneweave import __main__ as cli
+
+    (tmp_path / "law.md").write_text(LAW)
+    assert "제4조의2" in cli.answer(spark, "높이는 얼마인가", str(tmp_path), mode="tfidf")
+    assert cli.main(["list"]) == 0 and "floor_summary" in capsys.readouterr().out.split()
+    with pytest.raises(SystemExit):
+        cli.main(["run", "no such query", "--data", "x"])
+
+
+def test_needles_in_pages(spark, monkeypatch):
+    from zoneweave.operators import needles
+
+    texts = ["one two three", "two", None, "threeone", ""]
+    words = ["one", "two", "three", "ee", "absent", "", None]
+    df, w = spark.createDataFrame(list(enumerate(texts)), "k int, t string"), spark.createDataFrame([(x,) for x in words], "w string")
+    want = sorted((i, x) for i, t in enumerate(texts) for x in words if t and x and x in t)
+    for page, size in ((50_000, 8 << 20), (2, 8 << 20), (3, 4)):
+        monkeypatch.setattr(needles, "NEEDLES", page)
+        monkeypatch.setattr(needles, "CHARS", size)
+        assert sorted(tuple(r) for r in needles.find_needles(df, ["k"], F.col("t"), w, "w").collect()) == want
+
+
+def test_index_is_stored_once(spark, tmp_path):
+    c = spark.createDataFrame([(1, "a", "red apple pie"), (2, "b", "green apple tart")], "chunk_id long, source string, text string")
+    q = spark.createDataFrame([(1, "red apple")], "item_id long, question string")
+    plain = sorted(map(tuple, retrieval.lexical_scores(retrieval.Index(c), q).collect()))
+    for _ in range(2):
+        stored = retrieval.Index.stored(c, str(tmp_path))
+        assert sorted(map(tuple, retrieval.lexical_scores(stored, q).collect())) == [pytest.approx(r) for r in plain]
+    retrieval.Index.stored(c.where("chunk_id = 1"), str(tmp_path))
+    assert len(list(tmp_path.iterdir())) == 2  # another corpus, another index

@@ -28,10 +28,19 @@ def mark(spark: SparkSession, path: str, key: str, value: str, status: str = "do
     row.write.mode("append").json(path)
 
 
-def run_districts(spark: SparkSession, districts: list[str], step: Callable[[str], None], path: str) -> dict[str, str]:
+def log_line(spark: SparkSession, path: str, line: str) -> None:
+    """One line of the run log, on disk when this returns: a run that dies keeps its log."""
+    spark.range(1).select(F.current_timestamp().alias("at"), F.lit(line).alias("line")).write.mode("append").json(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("at timestamp, line string").json(path).orderBy("at")
+
+
+def run_districts(spark: SparkSession, districts: list[str], step: Callable[[str], None], path: str, log: str | None = None) -> dict[str, str]:
     """Each district that is not done, in order; a failure is recorded and does not stop the others.
 
-    The list of districts is a plan of a few dozen names, not data.
+    The list of districts is a plan of a few dozen names, not data. log: a folder for the run log, if one is wanted.
     """
     done = {r.district for r in manifest(spark, path).where("status = 'done'").select("district").collect()}
     out = {}
@@ -45,6 +54,8 @@ def run_districts(spark: SparkSession, districts: list[str], step: Callable[[str
         except Exception as e:
             out[d] = f"failed: {type(e).__name__}: {e}"
         mark(spark, path, "district", d, "done" if out[d] == "done" else "failed")
+        if log:
+            log_line(spark, log, f"{d}: {out[d]}")
     return out
 
 
