@@ -87,7 +87,7 @@ def kernel_rows(spark, sf_dir) -> DataFrame:
     pairs = nb.box_neighbors(boxed(t), boxed(p.where("kind = 'lot'")))
     pairs = t.select(F.col("pnu").alias("target_pnu")).join(pairs, "target_pnu", "left")
     depths = sorted(r[0] for r in sb.setback_table(spark).select("setback_m").distinct().collect())
-    return kn.kernel_areas(lots, pairs, depths)
+    return kn.kernel_areas(lots, pairs, depths, with_rings=False)
 
 
 def kernel_floor_area(spark, sf_dir) -> DataFrame:
