@@ -316,9 +316,9 @@ def _areas(rows_of):
     return make
 
 
-def _kernel_study(spark, sf_dir, rows_of) -> DataFrame:
-    p = raw_parcels(spark, sf_dir).select("pnu", "part_key", "width", "depth")
-    out = rings.apply_rings(p, "pnu", ["part_key", "width", "depth"], _areas(rows_of), "segments int, areas array<double>, rings_match boolean")
+def _kernel_study(spark, sf_dir, columns, rows_of) -> DataFrame:
+    p = raw_parcels(spark, sf_dir).withColumn("rise", (F.pmod("part_key", F.lit(5)) - 2) * 0.5)
+    out = rings.apply_rings(p, "pnu", columns, _areas(rows_of), "segments int, areas array<double>, rings_match boolean")
     return out.select("pnu", "segments", "rings_match", F.posexplode("areas").alias("i", "area")).select("pnu", "segments", "rings_match", F.get(F.array(*[F.lit(d) for d in DEPTHS]), F.col("i")).alias("distance"), "area")
 
 
@@ -326,10 +326,10 @@ def kernel_sloped(spark, sf_dir) -> DataFrame:
     """Lots with a sloped northern edge that a neighbour touches along its whole length."""
 
     def rows_of(r):
-        w, d, s = r.width, r.depth, (r.part_key % 5 - 2) * 0.5
+        w, d, s = r.width, r.depth, r.rise
         return [(0, 0), (w, 0), (w, d + s), (0, d)], [[(0, d), (w, d + s), (w, d + 40), (0, d + 40)]]
 
-    return _kernel_study(spark, sf_dir, rows_of)
+    return _kernel_study(spark, sf_dir, ["width", "depth", "rise"], rows_of)
 
 
 def kernel_concave(spark, sf_dir) -> DataFrame:
@@ -339,7 +339,7 @@ def kernel_concave(spark, sf_dir) -> DataFrame:
         w, h = r.width, 2 * r.depth
         return [(0, 0), (w, 0), (w, h), (w / 2, h), (w / 2, h / 2), (0, h / 2)], [[(0, h / 2), (w / 2, h / 2), (w / 2, h), (0, h)], [(w / 2, h), (w, h), (w, h + 20), (w / 2, h + 20)]]
 
-    return _kernel_study(spark, sf_dir, rows_of)
+    return _kernel_study(spark, sf_dir, ["width", "depth"], rows_of)
 
 
 HEIGHTS = (0.0, 3.0, 6.0, 9.0, 12.0, 15.0, 18.0)
