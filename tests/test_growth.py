@@ -32,3 +32,8 @@ def once_and_dealt(spark, monkeypatch, query, shapes):
 def test_kernel_concave_once_a_shape(spark, monkeypatch):
     p = studies.raw_parcels(spark, SF)
     assert once_and_dealt(spark, monkeypatch, studies.kernel_concave, p.select("width", "depth").distinct().count()) == 4 * p.count()
+
+
+def test_ring_operators_once_a_shape(spark, monkeypatch):
+    p = studies.raw_parcels(spark, SF)
+    assert once_and_dealt(spark, monkeypatch, studies.ring_operators, p.select("width", "depth").distinct().count()) == p.count()
