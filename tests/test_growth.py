@@ -34,6 +34,11 @@ def test_kernel_concave_once_a_shape(spark, monkeypatch):
     assert once_and_dealt(spark, monkeypatch, studies.kernel_concave, p.select("width", "depth").distinct().count()) == 4 * p.count()
 
 
+def test_kernel_sloped_once_a_shape(spark, monkeypatch):
+    p = studies.raw_parcels(spark, SF)
+    assert once_and_dealt(spark, monkeypatch, studies.kernel_sloped, p.selectExpr("width", "depth", "part_key % 5").distinct().count()) == 4 * p.count()
+
+
 def test_ring_operators_once_a_shape(spark, monkeypatch):
     p = studies.raw_parcels(spark, SF)
     assert once_and_dealt(spark, monkeypatch, studies.ring_operators, p.select("width", "depth").distinct().count()) == p.count()
