@@ -42,3 +42,8 @@ def test_kernel_sloped_once_a_shape(spark, monkeypatch):
 def test_ring_operators_once_a_shape(spark, monkeypatch):
     p = studies.raw_parcels(spark, SF)
     assert once_and_dealt(spark, monkeypatch, studies.ring_operators, p.select("width", "depth").distinct().count()) == p.count()
+
+
+def test_visual_heights_once_a_shape(spark, monkeypatch):
+    t = studies.ct.targets(spark, SF)
+    assert once_and_dealt(spark, monkeypatch, studies.visual_heights, t.select("width", "depth", "effective_gap_m").distinct().count()) == 7 * t.count()

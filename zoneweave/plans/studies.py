@@ -353,16 +353,17 @@ def visual_heights(spark, sf_dir) -> DataFrame:
     def make(r):
         out = []
         gap = None if r.effective_gap_m is None or math.isnan(r.effective_gap_m) else r.effective_gap_m
-        own = kn.clean([(r.x0, r.y0), (r.x0 + r.width, r.y0), (r.x0 + r.width, r.y0 + r.depth), (r.x0, r.y0 + r.depth), (r.x0, r.y0)])
-        inner, y = kn.offset_inward(own), r.y0 + r.depth
-        base = [] if gap is None else [(r.x0, y + gap, r.x0 + r.width, y + gap)]
+        own = kn.clean([(0, 0), (r.width, 0), (r.width, r.depth), (0, r.depth), (0, 0)])
+        inner, y = kn.offset_inward(own), r.depth
+        base = [] if gap is None else [(0.0, y + gap, r.width, y + gap)]
         for h in HEIGHTS:
             _, ring = kn.buildable(own, inner, base, depth_of[h])
             ring = None if ring is None else rings.opening(kn.clean(ring), 0.3)
             out.append(None if ring is None else [{"x": x, "y": v, "z": h} for x, v in ring.tolist()])
         return (out,)
 
-    rows = rings.apply_rings(p, "pnu", ["x0", "y0", "width", "depth", "effective_gap_m"], make, "levels array<array<struct<x:double,y:double,z:double>>>")
+    # rings start at the lot's own corner, on which neither areas nor heights depend, so that lots of one shape are one
+    rows = rings.apply_rings(p, "pnu", ["width", "depth", "effective_gap_m"], make, "levels array<array<struct<x:double,y:double,z:double>>>")
     flat = rows.select("pnu", F.posexplode("levels").alias("level", "ring"))
     return flat.select("pnu", "level", F.col("ring").isNull().alias("empty"), F.get("ring", F.lit(0))["z"].alias("z"), F.when(F.col("ring").isNotNull(), F.round(g.area(F.col("ring")), 4)).alias("area"))
 
