@@ -20,7 +20,7 @@ from ..operators import retrieval as rt
 from ..operators import rings
 from ..operators import rules as ru
 from ..operators import setback as sb
-from ..session import shared_path
+from ..session import cut, shared_path, small
 from ..sources import files as fs
 from ..sources import shapefile as shp
 from . import catalog as ct
@@ -89,7 +89,7 @@ def stored_index_topk(spark, sf_dir) -> DataFrame:
 def answer_logs(spark, sf_dir) -> DataFrame:
     """Questions with their three best contexts, answered by the offline client and logged as JSON."""
     q = questions(spark, sf_dir)
-    top = rt.top_k(ct.lexical(spark, sf_dir, ("bm25",))[2], "bm25", 3).join(chunks(spark, sf_dir), "chunk_id")
+    top = cut(small(cut(ct.ranked(spark, sf_dir, [("bm25",)], 3).drop("candidate"))).join(chunks(spark, sf_dir), "chunk_id"))  # read for prompts and logs
     context = ru.context_text(top, "item_id", 3)
     prompts = q.join(context, "item_id", "left").select("item_id", "question", ru.prompt("Answer.", F.col("question"), F.coalesce("context", F.lit(""))).alias("prompt"))
     answers = ru.ask(prompts, "item_id").join(q.select("item_id", "question"), "item_id")
