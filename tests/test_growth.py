@@ -111,3 +111,14 @@ def test_no_rows_of_pairs(spark, monkeypatch, name):
     (catalog.QUERIES | studies.QUERIES)[name](spark, SF).count()
     matched = rt.lexical_scores(rt.Index(chunks(spark, SF)), questions(spark, SF), ("bm25",)).count()
     assert len(sizes) == 1 and sizes[0][1] < matched / 3
+
+
+def test_boosts_meet_their_questions_where_the_texts_stand(spark, monkeypatch):
+    """Eight needles are eight keys: a join dealt by needle would leave a needle's chunks to one task."""
+    plans = []
+    real = rt.small
+    monkeypatch.setattr(rt, "small", lambda df, *more: plans.append(df.columns) or real(df, *more))
+    got = studies.law_boosts(spark, SF)
+    assert ["item_id", "needle"] in plans
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
