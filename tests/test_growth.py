@@ -122,3 +122,9 @@ def test_boosts_meet_their_questions_where_the_texts_stand(spark, monkeypatch):
     assert ["item_id", "needle"] in plans
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_kernel_areas_are_dealt_out(spark):
+    """Lots are few bytes and much work: sizes in bytes would leave them in one task."""
+    rows = catalog.kernel_rows(spark, SF)
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
