@@ -128,3 +128,9 @@ def test_kernel_areas_are_dealt_out(spark):
     """Lots are few bytes and much work: sizes in bytes would leave them in one task."""
     rows = catalog.kernel_rows(spark, SF)
     assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_doc_terms_send_texts_not_terms(spark):
+    """Terms are counted behind the exchange of the texts: no exchange has terms in it."""
+    plan = catalog.QUERIES["doc_terms"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate" in plan.split("Exchange ")[0]
